@@ -97,14 +97,14 @@ def _cosines(least: float):
 
 
 def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", width: int = 384, k: int = 5, least: float = 0.8,
-            curves: int = 28, dims: int = 12, bits: int = 4, window: int = 32, words: int = 3, most_bits: int = 72) -> DataFrame:
+            curves: int = 28, dims: int = 12, bits: int = 4, window: int = 32, words: int = 4, most_bits: int = 72) -> DataFrame:
     """For each vector up to ``k`` others of the highest cosine of at least ``least``: (id, other, cos, place).
 
     Equal cosines go to the smaller id. Vectors that are null, all zero, of
     another length or hold a null, NaN or infinite number take no part. Rows that
     repeat an id with the same vector count once. Other columns are ignored; an
-    empty table gives an empty result. ``most_bits`` of the 64 * ``words`` sketch bits
-    lies four standard deviations above what a pair at ``least`` of 0.85 differs in.
+    empty table gives an empty result. Of the 64 * ``words`` sketch bits a pair
+    at a cosine of 0.85 differs in 45 on average and in more than ``most_bits`` once in 100,000.
     """
     plan = {"count": curves, "dims": dims, "bits": bits, "words": words}
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == width))
