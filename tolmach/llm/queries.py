@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neighbours
+from . import nearcopies, neighbours
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _named(df: DataFrame, *names: str) -> DataFrame:
+    """The tbl number as the table's name."""
+    return df.withColumn("tbl", F.array(*map(F.lit, names))[F.col("tbl")])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows of one table whose source texts share most of their words."""
+    parts = [_table(spark, folder, t).select(F.lit(k).alias("tbl"), "id", F.col("source_text").alias("text")) for k, t in enumerate(("segments", "tm_entries"))]
+    return _named(nearcopies.near_pairs(parts[0].union(parts[1])), "segments", "tm_entries")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of entries of which one is among the other's five nearest."""
     return neighbours.similar_pairs(_table(spark, folder, "tm_entries"))
 
 
-QUERIES = {"p2_found": p2_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
 SQL: dict[str, str] = {}
