@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import nearcopies, neighbours
+from . import defects, nearcopies, neighbours
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,5 +28,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(_table(spark, folder, "tm_entries"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Machine drafts that are no translation, each with its kind of defect."""
+    origin = F.lower(F.regexp_replace("origin", r"(?U)^\s+|\s+$", ""))
+    files = _table(spark, folder, "files").select(F.col("id").alias("file_id"), "project_id")
+    projects = _table(spark, folder, "projects").select(F.col("id").alias("project_id"), F.lower(F.substring("target_locale", 1, 2)).alias("lang"))
+    locales = files.join(projects, "project_id").select("file_id", "lang")
+    rows = _table(spark, folder, "segments").select("id", "file_id", F.col("source_text").alias("source"), F.col("target_text").alias("target"), F.coalesce(origin == "machine", F.lit(False)).alias("machine"))
+    placed = rows.join(locales, "file_id", "left")
+    labelled = rows.select(F.lit("en").alias("lang"), F.col("source").alias("text")).union(placed.where(~F.col("machine")).select("lang", F.col("target"))).where(F.col("text").isNotNull())
+    return defects.draft_defects(placed.where("machine").select("id", "source", "target", "lang"), labelled)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
 SQL: dict[str, str] = {}
