@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import defects, nearcopies, neighbours
+from . import defects, exactcopies, nearcopies, neighbours, survivors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,5 +41,55 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return defects.draft_defects(placed.where("machine").select("id", "source", "target", "lang"), labelled)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+COPY_TABLES = ("segments", "tm_entries", "tm_feed")
+
+
+def _copies(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [_table(spark, folder, t).select(F.lit(k).alias("tbl"), F.col(i).alias("id"), F.col(x).alias("text")) for k, (t, i, x) in enumerate(zip(COPY_TABLES, ("id", "id", "feed_id"), ("source_text", "source_text", "payload"), strict=True))]
+    records = exactcopies.canonical_texts(parts[0].union(parts[1])).union(exactcopies.canonical_payloads(parts[2]))
+    return exactcopies.copies(records)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Superfluous records that repeat another but for their dress."""
+    return _named(_copies(spark, folder), *COPY_TABLES).select("tbl", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+
+
+def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The remaining record of each group of copies, and how many it has."""
+    return _named(exactcopies.copy_counts(_copies(spark, folder)), *COPY_TABLES)
+
+
+ENTRY = ["file_id", "unit_key", "form_index"]
+
+
+def _segment_survivors(rows: DataFrame) -> DataFrame:
+    approved = F.coalesce(F.lower(F.trim("status")) == "approved", F.lit(False)).cast("int")
+    known = survivors.somebody(F.col("reviewed_by")) & F.coalesce((F.col("reviewed_at") >= F.lit("2015-01-01").cast("timestamp")) & (F.col("reviewed_at") < F.lit("2026-07-01").cast("timestamp")), F.lit(False))
+    fields = {
+        "target_text": (~survivors.blank(F.col("target_text")), F.col("target_text"), [approved, F.col("updated_at")]),
+        "review": (known, F.struct("reviewed_by", "reviewed_at"), [F.col("reviewed_at")]),
+    }
+    return survivors.best_records(rows, ENTRY, fields)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The record that supplies each field of the entries that have several."""
+    best = _segment_survivors(_table(spark, folder, "segments"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.id").alias("id")) for f in ("target_text", "review")])
+    return best.select(*ENTRY, F.explode(pairs).alias("x")).select(*ENTRY, "x.field", "x.id").where(F.col("id").isNotNull())
+
+
+def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving record of each entry: the best target and review, and every note judged true."""
+    rows = _table(spark, folder, "segments")
+    best = _segment_survivors(rows)
+    several = rows.join(best.select(*ENTRY), ENTRY, "left_semi").withColumn("source", F.lower(F.trim("origin")))
+    notes = survivors.true_values(several, ENTRY, "notes", "source", ("import", "human", "memory", "machine"))
+    return best.join(notes, ENTRY, "left").select(
+        *ENTRY, F.col("target_text.value").alias("target_text"), F.col("review.value.reviewed_by").alias("reviewed_by"), F.col("review.value.reviewed_at").alias("reviewed_at"), F.coalesce(F.array_join("values", "\n"), F.lit("")).alias("notes")
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors}
 SQL: dict[str, str] = {}
