@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import defects, exactcopies, nearcopies, neighbours, survivors
+from . import defects, exactcopies, lookalikes, nearcopies, neighbours, survivors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of each target text and term that has another."""
+    parts = [_table(spark, folder, t).select(F.lit(k).alias("tbl"), "id", F.col(c).alias("text")) for k, (t, c) in enumerate((("segments", "target_text"), ("glossary_terms", "target_term")))]
+    return _named(lookalikes.altered(parts[0].union(parts[1])), "segments", "glossary_terms")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Target texts and terms that hold characters which only look like the usual ones."""
+    return p3_forms(spark, folder).select("tbl", "id").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Machine drafts that are no translation, each with its kind of defect."""
     origin = F.lower(F.regexp_replace("origin", r"(?U)^\s+|\s+$", ""))
@@ -91,5 +102,5 @@ def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors}
 SQL: dict[str, str] = {}
