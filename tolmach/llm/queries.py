@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import defects, exactcopies, lookalikes, nearcopies, neighbours, survivors
+from . import cutoffs, defects, exactcopies, leaks, lookalikes, nearcopies, neighbours, survivors, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -102,5 +104,34 @@ def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors}
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("TOLMACH_TOKENIZERS", "/opt/tokenizers")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as token ids of the byte-level vocabulary."""
+    return tokens.encode(_table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the test items of which they hold twelve consecutive words."""
+    return leaks.leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "documents").select(F.col("doc_id").alias("key"), "source", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that stop before their end."""
+    return cutoffs.cut_off(_documents(spark, folder)).select(F.col("key").alias("doc_id")).distinct()
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source truncates."""
+    rows = _documents(spark, folder)
+    return cutoffs.cut_shares(rows, cutoffs.cut_off(rows))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
