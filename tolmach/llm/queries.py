@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cutoffs, defects, exactcopies, leaks, lookalikes, nearcopies, neighbours, survivors, tokens
+from .sql import SQL as SQL
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -134,4 +135,3 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
