@@ -160,9 +160,9 @@ def copies(canonical: DataFrame) -> DataFrame:
             carried[part] = running[1]
             rep = running[1]
         running = (last, rep if last == first else last_rep)
-    by_part = F.create_map(*[F.lit(x) for pair in carried.items() for x in pair]) if carried else F.create_map(F.lit(-1), F.lit(0).cast("long"))
-    rep = F.when(F.col("kind") == 1, F.coalesce(by_part[F.col("part")].cast("long"), F.col("rep"))).otherwise(F.col("rep"))
-    return seen.where("kind < 2").select("tbl", rep.alias("rep"), "id").where("rep <> id")
+    by_part = F.broadcast(canonical.sparkSession.createDataFrame(list(carried.items()), "part int, carried long"))  # a row per partition at most
+    rep = F.when(F.col("kind") == 1, F.coalesce("carried", "rep")).otherwise(F.col("rep"))
+    return seen.where("kind < 2").join(by_part, "part", "left").select("tbl", rep.alias("rep"), "id").where("rep <> id")
 
 
 def copy_counts(found: DataFrame) -> DataFrame:

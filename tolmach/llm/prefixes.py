@@ -48,9 +48,6 @@ def _look_ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(first) < 2:
                     first.append(text)
             run.append(key)
-            if len(run) >= 10000 and len(first) < 2:  # a run over whole partitions is not held
-                yield batch_of(run, [0] * len(run), [1] * len(run), [None] * len(run))
-                run = []
         yield batch_of(keys, how, [0] * len(keys), [None] * len(keys))
     if current is not None:
         yield batch_of(run, [0] * len(run), [1] * len(run), [None] * len(run))
@@ -75,9 +72,9 @@ def continued(df: DataFrame) -> DataFrame:
         after = next((t for p in order[i + 1 :] for t in (borders[p].get(2), borders[p].get(3)) if t is not None and t != last), None)
         if how := _join(last, after):
             late[part] = how
-    by_part = F.create_map(*[F.lit(x) for pair in late.items() for x in pair]) if late else F.create_map(F.lit(-1), F.lit(0))
-    how = F.when(F.col("kind") == 0, F.col("how")).otherwise(F.coalesce(by_part[F.col("part")], F.lit(0)))
-    return seen.where("kind < 2").select("key", how.alias("how")).where("how > 0")
+    by_part = F.broadcast(df.sparkSession.createDataFrame(list(late.items()), "part int, late int"))  # a row per partition at most
+    how = F.when(F.col("kind") == 0, F.col("how")).otherwise(F.coalesce("late", F.lit(0)))
+    return seen.where("kind < 2").join(by_part, "part", "left").select("key", how.alias("how")).where("how > 0")
 
 
 def length_limits(df: DataFrame, least: int = 5, times: float = 6.0, around: int = 20) -> DataFrame:

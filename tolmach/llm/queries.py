@@ -84,7 +84,8 @@ def _segment_survivors(rows: DataFrame) -> DataFrame:
         "target_text": (~survivors.blank(F.col("target_text")), F.col("target_text"), [approved, F.col("updated_at")]),
         "review": (known, F.struct("reviewed_by", "reviewed_at"), [F.col("reviewed_at")]),
     }
-    return survivors.best_records(rows, ENTRY, fields)
+    known = rows.withColumn("source", F.lower(F.trim("origin")))
+    return survivors.survive(known, ENTRY, fields, "target_text", "notes", "source", ("import", "human", "memory", "machine"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,13 +97,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving record of each entry: the best target and review, and every note judged true."""
-    rows = _table(spark, folder, "segments")
-    best = _segment_survivors(rows)
-    several = rows.join(best.select(*ENTRY), ENTRY, "left_semi").withColumn("source", F.lower(F.trim("origin")))
-    notes = survivors.true_values(several, ENTRY, "notes", "source", ("import", "human", "memory", "machine"))
-    return best.join(notes, ENTRY, "left").select(
-        *ENTRY, F.col("target_text.value").alias("target_text"), F.col("review.value.reviewed_by").alias("reviewed_by"), F.col("review.value.reviewed_at").alias("reviewed_at"), F.coalesce(F.array_join("values", "\n"), F.lit("")).alias("notes")
-    )
+    best = _segment_survivors(_table(spark, folder, "segments"))
+    review = F.col("review.value")
+    return best.select(*ENTRY, F.col("target_text.value").alias("target_text"), F.round("belief", 6).alias("belief"), review["reviewed_by"].alias("reviewed_by"), review["reviewed_at"].alias("reviewed_at"), F.array_join("values", "\n").alias("notes"))
 
 
 #: Folder of the public tokenizers' vocabulary files.

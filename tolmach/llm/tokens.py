@@ -23,11 +23,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 CONTRACT = """
 WITH RECURSIVE state AS (
-    SELECT w, p, t, false AS done FROM start
+    SELECT w, p, t, false AS done, 0 AS n FROM start
     UNION ALL
     SELECT * FROM (
         WITH pairs AS (
-            SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS next FROM state WHERE NOT done
+            SELECT w, p, t, n, lead(t) OVER (PARTITION BY w ORDER BY p) AS next FROM state WHERE NOT done AND n < {rounds}
         ), ranked AS (
             SELECT pairs.*, merges.made, merges.rank AS r, min(merges.rank) OVER (PARTITION BY w) AS best
             FROM pairs LEFT JOIN merges ON merges.a = pairs.t AND merges.b = pairs.next
@@ -40,10 +40,10 @@ WITH RECURSIVE state AS (
         ), dropped AS (
             SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY p), false) AS gone FROM taken
         )
-        SELECT w, p, CASE WHEN take THEN made ELSE t END AS t, best IS NULL AS done FROM dropped WHERE NOT gone
+        SELECT w, p, CASE WHEN take THEN made ELSE t END AS t, best IS NULL AS done, n + 1 AS n FROM dropped WHERE NOT gone
     )
 )
-SELECT w, list(t ORDER BY p) AS ids FROM state WHERE done GROUP BY w
+SELECT w, list(t ORDER BY p) AS ids, bool_and(done) AS done FROM state WHERE done OR n = {rounds} GROUP BY w
 """
 
 
@@ -105,10 +105,20 @@ class Encoder:
             w += [i] * len(raw)
             p += range(len(raw))
             t += [self.bytes[b] for b in raw]
-        self.db.register("start", pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32())}))
-        for i, ids in self.db.execute(CONTRACT).fetchall():
-            self.known[words[i]] = ids
-        self.db.unregister("start")
+        while w:
+            # the query keeps the rows of all its rounds, so a very long word is contracted in several queries
+            rounds = max(1, min(64, 8_000_000 // len(w)))
+            self.db.register("start", pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32())}))
+            found = self.db.execute(CONTRACT.format(rounds=rounds)).fetchall()
+            self.db.unregister("start")
+            w, p, t = [], [], []
+            for i, ids, done in found:
+                if done:
+                    self.known[words[i]] = ids
+                else:
+                    w += [i] * len(ids)
+                    p += range(len(ids))
+                    t += ids
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """The ids of each text; an empty list for an empty or null one."""
