@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -104,7 +104,8 @@ def ends(df: DataFrame) -> DataFrame:
     limits = [length_limits(open_ended.select(F.col("source").alias("grp"), F.col(c).alias("length"))).select(F.col("grp").alias("source"), F.col("length").alias(c), F.lit(True).alias(f"at_{c}")) for c in ("chars", "bytes")]
     # how lines of a kind usually end: tokens of at least one in a hundred of them, thus at most 100 for each kind
     tokens = seen.where(F.col("kind").isin(*TOKEN_KINDS)).groupBy("kind", "token").agg(F.count("*").alias("n"))
-    usual = tokens.withColumn("of", F.sum("n").over(Window.partitionBy("kind"))).where(F.col("n") * 100 >= F.col("of")).where(F.col("token") != "").select("kind", "token", F.lit(True).alias("usual"))
+    totals = F.broadcast(tokens.groupBy("kind").agg(F.sum("n").alias("of")))  # a row for each kind
+    usual = tokens.join(totals, "kind").where((F.col("n") * 100 >= F.col("of")) & (F.col("token") != "")).select("kind", "token", F.lit(True).alias("usual"))
     return (
         seen.drop("stem")
         .join(longer, "key", "left")
