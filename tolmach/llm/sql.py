@@ -36,7 +36,7 @@ SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM best
     "p6_found": r"""
 WITH marked AS (
     SELECT *,
-           coalesce(regexp_replace(target_text, '[\s\p{Z}\p{Cf}\p{Cc}]+', '', 'g') <> '', false) AS filled,
+           coalesce(regexp_replace(target_text, '[\s\p{Z}\p{Cf}\p{Cc}\x{34f}\x{115f}\x{1160}\x{3164}\x{fe00}-\x{fe0f}\x{ffa0}]+', '', 'g') <> '', false) AS filled,
            coalesce(lower(trim(status)) = 'approved', false)::INT AS appr,
            lower(regexp_replace(coalesce(reviewed_by, ''), '[^\p{L}\p{N}]', '', 'g')) AS who
     FROM segments
