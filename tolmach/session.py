@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,26 @@ SETTINGS = {
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str) -> SparkSession:
     """A local session with the engine's settings; a cluster brings its own session."""
     conf = SETTINGS | {"spark.sql.shuffle.partitions": str(shuffle_partitions)} | more
-    return SparkSession.builder.master(master).appName("tolmach").config(map=conf).getOrCreate()
+    spark = SparkSession.builder.master(master).appName("tolmach").config(map=conf).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that workers find it wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_tolmach_sent", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(), "tolmach.zip")  # read by the driver only, which serves it
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("tolmach", os.path.relpath(path, package)))
+    context.addPyFile(archive)
+    context._tolmach_sent = True
 
 
 def shared_folder(spark: SparkSession) -> str:
