@@ -101,7 +101,10 @@ def multiset_minus(left: Column, right: Column) -> Column:
     return F.flatten(F.transform(F.array_sort(F.array_distinct(left)), lambda x: F.array_repeat(x, F.greatest(F.lit(0), times(left, x) - times(right, x)))))
 
 
+#: Native states of units that ask for review (fixed values).
+ASKING_STATES = ("needs-adaptation", "needs-l10n", "needs-review-adaptation", "needs-review-l10n", "needs-review-translation", "needs-translation", "new", "unfinished")
+
+
 def status_from_native(target: Column, native: Column) -> Column:
     """Import state of a target: untranslated, needs_review for the native states that ask for it, else draft."""
-    asks = ("unfinished", "new", "needs-translation", "needs-adaptation", "needs-l10n", "needs-review-translation", "needs-review-adaptation", "needs-review-l10n")
-    return F.when(is_blank(target), "untranslated").when(native.isin(*asks), "needs_review").otherwise("draft")
+    return F.when(is_blank(target), "untranslated").when(native.isin(*ASKING_STATES), "needs_review").otherwise("draft")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import _KNOWN, ALLOWANCE, LEAST_BUDGET, LONGEST_ALLOWANCE
+from ..functions.text import _KNOWN, ALLOWANCE, ASKING_STATES, LEAST_BUDGET, LONGEST_ALLOWANCE
 from ..kernels.markup import PERCENT
 from ..schema import STATUSES
 
@@ -28,6 +28,24 @@ def _quote(x: str) -> str:
     return f"""'"' || replace(replace({x}, '\\', '\\\\'), '"', '\\"') || '"'"""
 
 
+_ATTRS = r"""(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:"[^"<]*"|''[^''<]*''))*\s*"""
+
+
+def _broken(x: str) -> str:
+    """Markup that is not well-formed, as far as the tables hold any: bad tags, unpaired elements, bare ampersands."""
+    rest = f"regexp_replace({x}, '<[A-Za-z]+{_ATTRS}/?>|</[A-Za-z]+\\s*>', '', 'g')"
+    opened = f"list_sort(regexp_extract_all({x}, '<([A-Za-z]+){_ATTRS}>', 1))"
+    closed = f"list_sort(regexp_extract_all({x}, '</([A-Za-z]+)\\s*>', 1))"
+    return f"(contains({rest}, '<') OR {opened} <> {closed} OR contains(regexp_replace({x}, '&(?:#[0-9]+|#x[0-9a-fA-F]+|{_KNOWN});', '', 'g'), '&'))"
+
+
+def _plain(x: str) -> str:
+    bare = f"replace(replace(regexp_replace({x}, '<[^<>]*>', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", "\u00a0"), ("amp", "&")):
+        bare = f"replace({bare}, '&{name};', '{c}')"
+    return f"CASE WHEN {_broken(x)} THEN {x} ELSE {bare} END"
+
+
 def _percent(x: str) -> str:
     return f"list_filter(regexp_extract_all({x}, '({PERCENT['generic']})', 1), lambda v: v <> '%%')"
 
@@ -46,7 +64,7 @@ stats AS (
 )"""
 _COUNTS = ["total", *STATUSES, "errors", "warnings"]
 _ALLOW = "CASE " + " ".join(f"WHEN m <= {n} THEN {f}::DOUBLE" for n, f in ALLOWANCE) + f" ELSE {LONGEST_ALLOWANCE}::DOUBLE END"
-_NATIVE = "('unfinished', 'new', 'needs-translation', 'needs-adaptation', 'needs-l10n', 'needs-review-translation', 'needs-review-adaptation', 'needs-review-l10n')"
+_NATIVE = str(ASKING_STATES)
 _LATEST_SEG = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, unit_key, form_index ORDER BY updated_at DESC, id DESC) AS r FROM (SELECT DISTINCT * FROM segments)) WHERE r = 1)"
 _SEMANTIC = """
 q AS (SELECT id AS query_id, project_id, target_locale, source_hash, embedding FROM tm_entries WHERE id % 50 = 0),
@@ -75,6 +93,29 @@ WITH seg AS ({_SEG}), l AS (
     SELECT segment_id, count(*) AS n, string_agg(kind || '|' || message, ' / ' ORDER BY ordinal, kind, severity, message) AS listed FROM qa_issues GROUP BY 1
 ) SELECT id, coalesce(n, 0)::INT AS n, coalesce(listed, '') AS listed FROM seg LEFT JOIN l ON l.segment_id = seg.id""",
     "q_approved_by_source": f"WITH seg AS ({_SEG}), a AS ({_APPROVED}) SELECT project_id, source_text, array_to_string(list_sort(list(DISTINCT target_text)), chr(10)) AS variants FROM a GROUP BY 1, 2",
+    "q_inconsistent_sources": f"""
+WITH seg AS ({_SEG}), a AS ({_APPROVED}), g AS (SELECT project_id, source_text, list_sort(list(DISTINCT target_text)) AS v FROM a GROUP BY 1, 2)
+SELECT project_id, {_plain("source_text")} AS source_plain, len(v)::INT AS n, array_to_string(v, chr(10)) AS variants FROM g WHERE len(v) > 1""",
+    "q_plain_text": f"WITH seg AS ({_SEG}) SELECT id, {_plain('source_text')} AS plain FROM seg",
+    "q_fragment_errors": f"WITH seg AS ({_SEG}) SELECT id, {_broken('target_text')} AS broken FROM seg WHERE regexp_matches(target_text, '[<&]')",
+    "q_inline_placeholders": rf"""
+WITH seg AS ({_SEG}), e AS (
+    SELECT id, regexp_extract_all(target_text, '<(?:x|bx|ex|g|ph|bpt|ept|it)(?:\s[^<>]*)?/?>') AS tags FROM seg
+    WHERE regexp_matches(target_text, '<(g|x|ph) ') AND NOT {_broken("target_text")}
+)
+SELECT id, array_to_string(list_transform(tags, lambda t: CASE WHEN regexp_matches(t, ' id="[^"]+"')
+    THEN '<' || regexp_extract(t, '^<([a-z]+)', 1) || ' id="' || regexp_extract(t, ' id="([^"]+)"', 1) || '">'
+    ELSE '<' || regexp_extract(t, '^<([a-z]+)', 1) || '>' END), ' ') AS found FROM e""",
+    "q_brace_placeholders": rf"""
+WITH seg AS ({_SEG}), e AS (
+    SELECT id, regexp_extract_all({_plain("source_text")}, '(?s)\{{\{{.*?\}}\}}|\{{[^{{}}]*\}}') AS groups FROM seg WHERE regexp_matches(source_text, '\{{')
+), n AS (
+    SELECT id, list_transform(groups, lambda g: CASE
+        WHEN starts_with(g, '{{{{') THEN CASE WHEN regexp_matches(g, '^\{{\{{\s*[A-Za-z_][A-Za-z0-9_.]*\s*\}}\}}$') THEN '{{{{' || {_trim("g[3:-3]")} || '}}}}' ELSE '' END
+        WHEN regexp_matches(g, '^\{{(?:[A-Za-z_][A-Za-z0-9_.]*|[0-9]+)\}}$') THEN g
+        WHEN regexp_matches(g, '^\{{\s*[A-Za-z_][A-Za-z0-9_.]*\s*,') THEN '{{' || regexp_extract(g, '([A-Za-z_][A-Za-z0-9_.]*)', 1) || '}}' ELSE '' END) AS names FROM e
+)
+SELECT id, array_to_string(list_filter(names, lambda x: x <> ''), ' ') AS found FROM n""",
     "q_first_inconsistent_sources": f"WITH seg AS ({_SEG}), a AS ({_APPROVED}) SELECT project_id, source_text, count(DISTINCT target_text)::INT AS n FROM a GROUP BY 1, 2 HAVING n > 1 ORDER BY source_text, project_id LIMIT 20",
     "q_other_approved": f"""
 WITH seg AS ({_SEG}), a AS ({_APPROVED}), every AS (SELECT s.id, f.project_id, s.source_text FROM seg s JOIN files f ON f.id = s.file_id)
