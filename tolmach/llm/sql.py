@@ -1,11 +1,41 @@
 """DuckDB SQL of the queries that SQL can say, over whole tables.
 
-The rest (p3, p4, p7, p9) is tested against brute force in ``tests/llm``.
+That of p3 says the rules for characters and for words of two scripts; words that are
+wholly another script's letters are beyond it, and the tables hold none. The rest (p4,
+p7, p9) is tested against brute force and case by case in ``tests/llm``.
 """
 
 _WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
 
+_CANON = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_COPIES = f"""
+WITH records AS (
+    SELECT 'segments' AS tbl, id, {_CANON.format("source_text")} AS k FROM segments
+    UNION ALL SELECT 'tm_entries', id, {_CANON.format("source_text")} FROM tm_entries
+), feed AS (
+    SELECT 'tm_feed' AS tbl, feed_id AS id,
+           array_to_string(list_sort(list_transform(json_keys(payload), lambda f: lower(f) || chr(31) || {_CANON.format("(payload ->> f)")})), chr(30)) AS k
+    FROM tm_feed WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'
+), groups AS (
+    SELECT DISTINCT tbl, id, min(id) OVER (PARTITION BY tbl, k) AS rep FROM (SELECT * FROM records WHERE length(k) >= 40 UNION ALL SELECT * FROM feed)
+)"""
+_LATIN, _OTHER = r"[A-Za-z\x{c0}-\x{24f}]", r"[\x{370}-\x{52f}]"
+_GREEK, _CYRILLIC = r"[\x{370}-\x{3ff}]", r"[\x{400}-\x{52f}]"
+_HIDDEN = r"[\p{Cf}\x{34f}\x{115f}\x{1160}\x{3164}\x{fe00}-\x{fe0f}\x{ffa0}]"
+
 SQL = {
+    "p3_found": rf"""
+WITH t AS (
+    SELECT 'segments' AS tbl, id, target_text AS x FROM segments UNION ALL SELECT 'glossary_terms', id, target_term FROM glossary_terms
+), c AS (SELECT tbl, id, x, regexp_replace(x, '([\x{{1f000}}-\x{{1ffff}}\x{{2600}}-\x{{27bf}}])\x{{200d}}([\x{{1f000}}-\x{{1ffff}}\x{{2600}}-\x{{27bf}}])', '\1\2', 'g') AS y FROM t)
+SELECT DISTINCT tbl, id FROM c
+WHERE regexp_matches(x, '[\x{{ff01}}-\x{{ff5e}}\x{{ffe0}}-\x{{ffe6}}\x{{fb00}}-\x{{fb06}}]') OR regexp_matches(y, '{_HIDDEN}')
+   OR regexp_matches(x, '[\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{85}}\x{{b}}\x{{c}}]')
+   OR nfc_normalize(x) <> x
+   OR regexp_matches(regexp_replace(y, '{_HIDDEN}', '', 'g'), '{_LATIN}{_OTHER}|{_OTHER}{_LATIN}|{_GREEK}{_CYRILLIC}|{_CYRILLIC}{_GREEK}')
+""",
+    "p5_found": f"{_COPIES} SELECT tbl, rep AS id_a, id AS id_b FROM groups WHERE rep <> id",
+    "p5_counts": f"{_COPIES} SELECT tbl, rep AS id, count(*) AS copies FROM groups GROUP BY 1, 2 HAVING count(*) > 1",
     "p1_found": f"""
 WITH rows_of AS (
     SELECT DISTINCT 'segments' AS tbl, id, {_WORDS.format("source_text")} AS ws FROM segments
