@@ -67,20 +67,47 @@ def exact_matches(queries: DataFrame, memory: DataFrame, limit: int = 5) -> Data
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).withColumns({"kind": F.lit("exact"), "score": F.lit(1.0)})
 
 
-def semantic_matches(queries: DataFrame, memory: DataFrame, limit: int = 5, least: float = 0.6, width: int = 384) -> DataFrame:
+def _block_top(limit: int):
+    """The best entries of one block for each of its queries, by one matrix product."""
+
+    def run(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(entries) or not len(asked):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        entries = entries.sort_values("id", kind="stable")
+        x, q = (np.stack(d["embedding"].to_numpy()).astype(np.float64) for d in (entries, asked))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        score = np.round(q @ x.T, 9)
+        codes = pd.factorize(np.concatenate([asked["own_hash"].to_numpy(), entries["source_hash"].to_numpy()]))[0]
+        score[codes[: len(asked), None] == codes[None, len(asked) :]] = -np.inf  # nulls count as equal
+        keep = min(limit, score.shape[1])
+        least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
+        row, col = np.nonzero((score >= least) & np.isfinite(score))  # ties of the last place stay
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[row], "id": entries["id"].to_numpy()[col], "score": score[row, col]})
+
+    return run
+
+
+def semantic_matches(queries: DataFrame, memory: DataFrame, limit: int = 5, least: float = 0.6, width: int = 384, entries_at_once: int = 20_000, queries_at_once: int = 2_000) -> DataFrame:
     """Entries of the query's project and locale by cosine similarity, best first, ties to the smaller id.
 
     ``queries``: (query_id, project_id, target_locale, source_hash, embedding). Entries
-    with the query's own hash are left out: they are exact matches. Norms are computed
-    once per vector before the join; scores are rounded to 9 places, so ties are ties.
+    with the query's own hash are left out: they are exact matches. Scores are rounded
+    to 9 places, so ties are ties. Each project and locale is a grid of blocks of about
+    ``entries_at_once`` by ``queries_at_once``, so no task holds a whole project; every
+    block gives its best, of which the best per query remain.
     """
-    q = queries.where(vectors.usable(F.col("embedding"), width)).select("query_id", "project_id", "target_locale", F.col("source_hash").alias("own_hash"), F.col("embedding").alias("q"), vectors.norm(F.col("embedding")).alias("nq"))
-    m = memory.where(vectors.usable(F.col("embedding"), width)).withColumn("nm", vectors.norm(F.col("embedding")))
-    pairs = q.join(m, ["project_id", "target_locale"]).where(~F.col("own_hash").eqNullSafe(F.col("source_hash")))
-    scored = pairs.withColumn("score", F.round(vectors.dot(F.col("q"), F.col("embedding")) / (F.col("nq") * F.col("nm")), 9)).drop("q", "nq", "nm", "embedding", "own_hash")
+    keys = ["project_id", "target_locale"]
+    m = memory.where(vectors.usable(F.col("embedding"), width)).select("id", *keys, "source_hash", "embedding")
+    q = queries.where(vectors.usable(F.col("embedding"), width)).select("query_id", *keys, F.col("source_hash").alias("own_hash"), "embedding")
+    rows = lambda df, most, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    grid = rows(memory, entries_at_once, "across").join(rows(queries, queries_at_once, "down"), keys)
+    left = m.join(grid, keys).select("id", "source_hash", "embedding", *keys, F.pmod(F.xxhash64("id"), "across").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"))
+    right = q.join(grid, keys).select("query_id", "own_hash", "embedding", *keys, F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), F.pmod(F.xxhash64("query_id"), "down").cast("int").alias("y"))
+    best = left.groupBy(*keys, "x", "y").cogroup(right.groupBy(*keys, "x", "y")).applyInPandas(_block_top(limit), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return best.where(F.col("score") >= least).withColumn("kind", F.lit("semantic"))
+    top = best.withColumn("place", F.row_number().over(order)).where((F.col("place") <= limit) & (F.col("score") >= least))
+    return memory.drop("embedding").join(top, "id").withColumn("kind", F.lit("semantic"))
 
 
 def merge_matches(exact: DataFrame, semantic: DataFrame, limit: int = 5) -> DataFrame:

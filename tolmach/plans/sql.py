@@ -108,7 +108,7 @@ SELECT id, array_to_string(list_transform(tags, lambda t: CASE WHEN regexp_match
     ELSE '<' || regexp_extract(t, '^<([a-z]+)', 1) || '>' END), ' ') AS found FROM e""",
     "q_brace_placeholders": rf"""
 WITH seg AS ({_SEG}), e AS (
-    SELECT id, regexp_extract_all({_plain("source_text")}, '(?s)\{{\{{.*?\}}\}}|\{{[^{{}}]*\}}') AS groups FROM seg WHERE regexp_matches(source_text, '\{{')
+    SELECT id, regexp_extract_all({_plain("source_text")}, '(?s)\{{\{{.*?\}}\}}|\{{(?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*\}}') AS groups FROM seg WHERE regexp_matches(source_text, '\{{')
 ), n AS (
     SELECT id, list_transform(groups, lambda g: CASE
         WHEN starts_with(g, '{{{{') THEN CASE WHEN regexp_matches(g, '^\{{\{{\s*[A-Za-z_][A-Za-z0-9_.]*\s*\}}\}}$') THEN '{{{{' || {_trim("g[3:-3]")} || '}}}}' ELSE '' END
