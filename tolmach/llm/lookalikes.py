@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 #: Letters of one shape, in the order Latin, Cyrillic, Greek; a dot where a script has none.
 SHAPES = (
-    "AАΑ BВΒ CСΧ EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ SЅ. TТΤ XХΧ YУΥ Z.Ζ "
+    "AАΑ BВΒ CС. EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ SЅ. TТΤ XХΧ YУΥ Z.Ζ "
     "aаα cсς eе. iіι jј. kкκ oоο pрρ sѕ. u.υ v.ν xхχ yу. hһ. n.η mм. tтτ bЬ. rг. lӏ. ëё. ïї."
-).replace("CСΧ", "CС.").split()
+).split()
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 _SPAN = 0x530
 _LATIN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ]")
