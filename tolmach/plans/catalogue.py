@@ -171,8 +171,11 @@ def q_placeholder_kinds(spark, folder):
 
 @_query
 def q_placeholder_diff(spark, folder):
-    rows = _segments(spark, folder, "source_text", "target_text").where(~F.regexp_like(F.concat_ws(" ", "source_text", "target_text"), F.lit(r"[<&{]")) & ~text.is_blank(F.col("target_text")))
-    source, target = text.percent_placeholders(F.col("source_text")), text.percent_placeholders(F.col("target_text"))
+    files = table(spark, folder, "files").select(F.col("id").alias("file_id"), text.dialect(F.col("format")).alias("dialect"))
+    rows = _segments(spark, folder, "file_id", "source_text", "target_text").where(~text.is_blank(F.col("target_text"))).join(files, "file_id", "left")
+    dialect = F.coalesce("dialect", F.lit("generic"))
+    rows = rows.select("id", markup.placeholders(F.col("source_text"), dialect).alias("source"), markup.placeholders(F.col("target_text"), dialect).alias("target"))
+    source, target = F.col("source"), F.col("target")
     both = rows.select("id", F.array_join(text.multiset_minus(source, target), " ").alias("missing"), F.array_join(text.multiset_minus(target, source), " ").alias("extra"))
     return both.where((F.col("missing") != "") | (F.col("extra") != ""))
 
