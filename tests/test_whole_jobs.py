@@ -4,8 +4,10 @@ from collections import Counter
 
 import pytest
 
+from test_queries import oracle, table_of
 from tolmach.kernels import markup
 from tolmach.plans.catalogue import QUERIES
+from tolmach.plans.sql import _blank, _plain
 
 #: (id, file_id, source, target, max_width); file 1 is generic, file 2 is Qt, file 3 is not among the files.
 SEGMENTS = [
@@ -49,3 +51,29 @@ def test_placeholder_diff_compares_every_placeholder_of_every_segment(spark, fol
     assert got == wanted
     assert got[2] == ('<g id="1">', "")
     assert got[3] == ("{name}", "{nom}") and got[4] == ("%L2", "%2") and got[10] == ("%1", "")
+
+
+def _same_as_sql(spark, data, name, sql):
+    """The query gives what this SQL over all segments gives."""
+    df = QUERIES[name](spark, data)
+    found = oracle(data).execute(sql)
+    assert table_of(df.collect(), df.columns) == table_of(found.fetchall(), [c[0] for c in found.description])
+
+
+def test_length_check_counts_visible_characters_of_every_segment(spark, folder, data):
+    got = {r["id"]: (r["severity"], r["message"]) for r in QUERIES["q_length_check"](spark, folder).collect()}
+    assert got == {
+        13: ("error", "over the 12 character budget declared for this string (16 characters)"),
+        14: ("warning", "35 characters against a 25 character budget for a 2 character source"),
+        15: ("warning", "28 characters against a 25 character budget for a 3 character source"),
+    }
+    steps = "CASE WHEN m <= 10 THEN 3.0 WHEN m <= 20 THEN 2.2 WHEN m <= 30 THEN 1.8 WHEN m <= 50 THEN 1.6 WHEN m <= 70 THEN 1.4 ELSE 1.3 END::DOUBLE"
+    _same_as_sql(spark, data, "q_length_check", f"""
+WITH seg AS (SELECT DISTINCT * FROM segments), p AS (
+    SELECT s.id, length({_plain("s.source_text")}) AS m, length({_plain("s.target_text")}) AS n, coalesce(s.max_width, 0) AS w, coalesce(p.length_tolerance::DOUBLE, 1) AS tol
+    FROM seg s JOIN files f ON f.id = s.file_id JOIN projects p ON p.id = f.project_id WHERE NOT {_blank("s.target_text")}
+), b AS (SELECT *, trunc(greatest(m * {steps}, 25::DOUBLE) * tol)::INT AS budget FROM p)
+SELECT id, CASE WHEN w > 0 THEN 'error' ELSE 'warning' END AS severity,
+       CASE WHEN w > 0 THEN 'over the ' || w || ' character budget declared for this string (' || n || ' characters)'
+            ELSE n || ' characters against a ' || budget || ' character budget for a ' || m || ' character source' END AS message
+FROM b WHERE (w > 0 AND n > w) OR (w <= 0 AND tol > 0 AND n > budget)""")

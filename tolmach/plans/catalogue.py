@@ -191,8 +191,8 @@ def _placed(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 @_query
 def q_length_check(spark, folder):
-    rows = _placed(spark, folder, "source_text", "target_text", "max_width").where(~F.regexp_like(F.concat_ws(" ", "source_text", "target_text"), F.lit("[<&\r]")) & ~text.is_blank(F.col("target_text")))
-    found = checks.length_issues(F.col("source_text"), F.col("target_text"), F.coalesce("max_width", F.lit(0)), F.col("tolerance"))
+    rows = _placed(spark, folder, "source_text", "target_text", "max_width").where(~text.is_blank(F.col("target_text")))
+    found = checks.length_issues(markup.plain_text(F.col("source_text")), markup.plain_text(F.col("target_text")), F.coalesce("max_width", F.lit(0)), F.col("tolerance"))
     return rows.select("id", F.explode(found).alias("i")).select("id", "i.severity", "i.message")
 
 
