@@ -7,7 +7,7 @@ import pytest
 from test_queries import oracle, table_of
 from tolmach.kernels import markup
 from tolmach.plans.catalogue import QUERIES
-from tolmach.plans.sql import _blank, _plain
+from tolmach.plans.sql import _blank, _percent, _plain
 
 #: (id, file_id, source, target, max_width); file 1 is generic, file 2 is Qt, file 3 is not among the files.
 SEGMENTS = [
@@ -77,3 +77,15 @@ SELECT id, CASE WHEN w > 0 THEN 'error' ELSE 'warning' END AS severity,
        CASE WHEN w > 0 THEN 'over the ' || w || ' character budget declared for this string (' || n || ' characters)'
             ELSE n || ' characters against a ' || budget || ' character budget for a ' || m || ' character source' END AS message
 FROM b WHERE (w > 0 AND n > w) OR (w <= 0 AND tol > 0 AND n > budget)""")
+
+
+def test_percent_placeholders_of_every_source(spark, folder, data):
+    wanted = {i: [x for x in markup.text_placeholders(markup.plain_text(s)) if x.startswith("%")] for i, _, s, _, _ in SEGMENTS}
+    assert {r["id"]: r["found"] for r in QUERIES["q_percent_placeholders"](spark, folder).collect()} == {i: " ".join(x) for i, x in wanted.items()}
+    counts = {(r["name"], r["kind"]): r["n"] for r in QUERIES["q_placeholder_kinds"](spark, folder).collect()}
+    assert counts == Counter((x, markup.percent_kind(x)) for found in wanted.values() for x in found)
+    each = f"SELECT id, {_percent(_plain('source_text'))} AS l FROM (SELECT DISTINCT * FROM segments)"
+    _same_as_sql(spark, data, "q_percent_placeholders", f"SELECT id, array_to_string(l, ' ') AS found FROM ({each})")
+    _same_as_sql(spark, data, "q_placeholder_kinds", f"""
+SELECT name, CASE WHEN regexp_matches(name, '^%(L?[0-9]{{1,2}}|n)$') THEN 'qt' ELSE 'printf' END AS kind, count(*) AS n
+FROM (SELECT unnest(l) AS name FROM ({each})) GROUP BY 1, 2""")

@@ -145,8 +145,8 @@ def q_fragment_errors(spark, folder):
 
 @_query
 def q_percent_placeholders(spark, folder):
-    rows = _segments(spark, folder, "source_text").where(~F.regexp_like("source_text", F.lit("[<&]")))
-    return rows.select("id", F.array_join(text.percent_placeholders(F.col("source_text")), " ").alias("found"))
+    rows = _segments(spark, folder, "source_text").select("id", markup.plain_text(F.col("source_text")).alias("plain"))
+    return rows.select("id", F.array_join(text.percent_placeholders(F.col("plain")), " ").alias("found"))
 
 
 @_query
@@ -164,8 +164,8 @@ def q_inline_placeholders(spark, folder):
 
 @_query
 def q_placeholder_kinds(spark, folder):
-    rows = _segments(spark, folder, "source_text").where(~F.regexp_like("source_text", F.lit("[<&]")))
-    each = rows.select("id", F.explode(text.percent_placeholders(F.col("source_text"))).alias("name"))
+    rows = _segments(spark, folder, "source_text").select("id", markup.plain_text(F.col("source_text")).alias("plain"))
+    each = rows.select("id", F.explode(text.percent_placeholders(F.col("plain"))).alias("name"))
     return each.groupBy("name", text.percent_kind(F.col("name")).alias("kind")).agg(F.count("*").alias("n"))
 
 
