@@ -68,3 +68,24 @@ def test_vectors_that_take_no_part(spark):
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
     assert [tuple(r) for r in neighbours.similar_pairs(df).collect()] == [(1, 2)]
     assert neighbours.similar_pairs(df.limit(0)).count() == 0
+
+
+def test_recall_in_dense_groups_of_distinct_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for size, spread in ((4000, 0.295), (1500, 0.02), (1, 0.0), (200, 0.4)):  # mean cosines of 0.92, 0.9996, 0.86
+        base = rng.standard_normal(384)
+        rows += [base + rng.standard_normal(384) * spread for _ in range(size)]
+    rows += list(rng.standard_normal((300, 384)))
+    # the directions that 16-bit numbers hold; no cosine is rounded, as in the second group they differ by less than 1e-7
+    x = np.stack([np.rint(v * (32767.0 / np.abs(v).max())) for v in rows])
+    x = x[rng.permutation(len(x))]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -1)
+    best = np.argpartition(-cos, 5, axis=1)[:, :5]
+    wanted = {(min(i, j), max(i, j)) for i, row in enumerate(best.tolist()) for j in row if cos[i, j] >= 0.8}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "id long, embedding array<float>").repartition(6)
+    got = {tuple(r) for r in neighbours.similar_pairs(df).collect()}
+    print(len(wanted), len(got & wanted), len(got - wanted))
+    assert len(got & wanted) >= 0.999 * len(wanted) and len(got - wanted) <= 0.001 * len(wanted)

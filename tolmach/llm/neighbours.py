@@ -5,7 +5,9 @@ collapsed to the entry with the smallest id before anything is compared, so a
 vector that a third of all rows share costs one row. Each remaining vector gets
 its place on several Hilbert orders of random projections; rows are
 range-partitioned by (curve, place), and each is compared with the next
-``window`` rows of its curve by a bit sketch. The surviving pairs, each once, are
+``window`` rows of its curve by a bit sketch. Rows with many partners lie in a
+dense group, of which windows show only a part; these are compared with all rows
+that can be near them (see ``crowds``). The surviving pairs, each once, are
 reranked by their exact cosine.
 """
 
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .crowds import crowded_pairs
 from .hilbert import Curves
 
 PREPARED = "id long, digest binary, vec binary, keys array<long>, sketch array<long>"
@@ -97,7 +100,7 @@ def _cosines(least: float):
 
 
 def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", width: int = 384, k: int = 5, least: float = 0.8,
-            curves: int = 28, dims: int = 12, bits: int = 4, window: int = 32, words: int = 4, most_bits: int = 72) -> DataFrame:
+            curves: int = 28, dims: int = 12, bits: int = 4, window: int = 32, words: int = 4, most_bits: int = 72, crowd: int = 128) -> DataFrame:
     """For each vector up to ``k`` others of the highest cosine of at least ``least``: (id, other, cos, place).
 
     Equal cosines go to the smaller id. Vectors that are null, all zero, of
@@ -105,6 +108,7 @@ def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", wi
     repeat an id with the same vector count once. Other columns are ignored; an
     empty table gives an empty result. Of the 64 * ``words`` sketch bits a pair
     at a cosine of 0.85 differs in 45 on average and in more than ``most_bits`` once in 100,000.
+    Rows with more than ``crowd`` such partners get their neighbours by exact comparison.
     """
     plan = {"count": curves, "dims": dims, "bits": bits, "words": words}
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == width))
@@ -119,7 +123,16 @@ def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", wi
 
     spread = firsts.select("id", F.posexplode("keys").alias("curve", "key"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(words)])
     ordered = spread.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key").select("curve", "id", *[f"s{i}" for i in range(words)])
-    close = ordered.mapInArrow(_windows(window, words, most_bits), "a long, b long").distinct()
+    close = materialise(ordered.mapInArrow(_windows(window, words, most_bits), "a long, b long").distinct(), "close")
+
+    partners = close.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    crowded = materialise(partners.where(F.col("n") > crowd).select("id"), "crowded")
+    if not crowded.isEmpty():
+        single = prepared.join(firsts.select("digest", "id"), ["digest", "id"], "left_semi").select("id", "vec").distinct()
+        dense = materialise(single.join(crowded, "id", "left_semi"), "dense")
+        flag = [crowded.select(F.col("id").alias(c), F.lit(True).alias(f"crowded_{c}")) for c in ("a", "b")]
+        loose = close.join(flag[0], "a", "left").join(flag[1], "b", "left").where(F.col("crowded_a").isNull() | F.col("crowded_b").isNull()).select("a", "b")
+        close = loose.union(crowded_pairs(dense, single, k, least)).distinct()
 
     vec = prepared.select("id", "vec")
     both = (
