@@ -274,3 +274,9 @@ def test_somebody(spark, name, known):
 def test_stems_drop_what_a_cut_leaves():
     assert [defects._CUT.sub("", t) for t in ("abc…", "abc [...]", "abc<g id=\"2\"", "abc %", "abc ")] == ["abc"] * 5
     assert re.match(defects.OPENING, "Leider: nein")
+
+
+def test_list_items_with_a_broken_last_word_are_cut(spark):
+    texts = ["- one thing\n- всё импо", "- one thing\n- всё импо ", "Можно импортировать.", "- cat\n- dog", "- cat\n- dog\n- hen", "- cat\n- zebu", "One thing, two things, a dog and a hen."]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "key long, source string, text string")
+    assert {r["key"] for r in cutoffs.cut_off(df).collect()} == {0, 1}

@@ -95,8 +95,22 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def broken_words(seen: DataFrame) -> DataFrame:
+    """Last words of list ends (kind, stem) that stand nowhere but at ends of texts and begin another word of the corpus: (last).
+
+    Words are counted in lower case; a last word that its text ends in may be broken itself, so it counts for no other.
+    """
+    low = F.lower("stem")
+    body = seen.select(F.explode(F.regexp_extract_all(F.regexp_replace(low, r"(?U)\w+$", ""), F.lit(r"(?U)(\w+)"), F.lit(1))).alias("word")).distinct()
+    last = seen.where("kind = 'list'").select(F.regexp_extract(low, r"(?U)(\w+)$", 1).alias("word")).where("word <> ''").distinct()
+    odd = materialise(last.join(body, "word", "left_anti"), "odd")
+    # a word that begins another is continued within a word
+    begun = continued(body.union(odd).select(F.xxhash64("word").alias("key"), F.col("word").alias("stem"))).where("how = 1")
+    return odd.join(begun.select("key").distinct(), F.xxhash64("word") == F.col("key"), "left_semi").select(F.col("word").alias("last"))
+
+
 def ends(df: DataFrame) -> DataFrame:
-    """Rows (key long, source string, text string) with the facts: adds kind, token, chars, bytes, inword, how, limited, usual."""
+    """Rows (key long, source string, text string) with the facts: adds kind, token, chars, bytes, inword, how, limited, usual, broken."""
     rows = df.select("key", "source", "text").where(F.col("text").isNotNull())
     seen = materialise(rows.mapInArrow(_ends, "key long, source string, kind string, token string, chars long, bytes long, inword boolean, stem string"), "ends")
     longer = continued(seen.where("kind <> 'empty'").select("key", "stem")).groupBy("key").agg(F.min("how").alias("how"))
@@ -106,13 +120,16 @@ def ends(df: DataFrame) -> DataFrame:
     tokens = seen.where(F.col("kind").isin(*TOKEN_KINDS)).groupBy("kind", "token").agg(F.count("*").alias("n"))
     totals = F.broadcast(tokens.groupBy("kind").agg(F.sum("n").alias("of")))  # a row for each kind
     usual = tokens.join(totals, "kind").where((F.col("n") * 100 >= F.col("of")) & (F.col("token") != "")).select("kind", "token", F.lit(True).alias("usual"))
+    broken = broken_words(seen).withColumn("broken", F.lit(True))
     return (
-        seen.drop("stem")
+        seen.withColumn("last", F.when(F.col("kind") == "list", F.regexp_extract(F.lower("stem"), r"(?U)(\w+)$", 1)))
+        .drop("stem")
+        .join(broken, "last", "left")
         .join(longer, "key", "left")
         .join(limits[0], ["source", "chars"], "left")
         .join(limits[1], ["source", "bytes"], "left")
         .join(usual, ["kind", "token"], "left")
-        .select("key", "source", "kind", "token", "chars", "bytes", "inword", F.coalesce("how", F.lit(0)).alias("how"), F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("limited"), F.coalesce("usual", F.lit(False)).alias("usual"))
+        .select("key", "source", "kind", "token", "chars", "bytes", "inword", F.coalesce("how", F.lit(0)).alias("how"), F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("limited"), F.coalesce("usual", F.lit(False)).alias("usual"), F.coalesce("broken", F.lit(False)).alias("broken"))
     )
 
 
@@ -122,7 +139,8 @@ def cut_off(df: DataFrame) -> DataFrame:
     Cut is a text that ends in a damaged character, in a tag, in a table row without its
     border, in prose without a closing mark, or in a signature, command or reference that
     does not end as such lines do; a list item only where another text continues it
-    within a word, or at a length limit of its source. Null, empty and blank texts are not
+    within a word, at a length limit of its source, or where its last word is known only
+    as the beginning of others. Null, empty and blank texts are not
     cut. A text with a closing mark is not, even if another text continues it.
     """
     facts = ends(df)
@@ -130,7 +148,7 @@ def cut_off(df: DataFrame) -> DataFrame:
         F.col("kind").isin("damaged", "prose")
         | (F.col("kind").isin("markup", "table") & (F.col("token") == "open"))
         | (F.col("kind").isin(*TOKEN_KINDS) & ~F.col("usual"))
-        | ((F.col("kind") == "list") & ((F.col("how") == 1) | F.col("limited")))
+        | ((F.col("kind") == "list") & ((F.col("how") == 1) | F.col("limited") | F.col("broken")))
     )
     return facts.where(cut).select("key", "source")
 
