@@ -29,16 +29,16 @@ def test_a_project_from_import_to_export(spark, tmp_path, capsys):
     ids = {(r["source_text"], r["form_index"]): r["id"] for r in engine.table("segments").collect()}
     at = dt.datetime(2025, 1, 1)
     edits = [
-        (ids["Save", 0], "Sichern & mehr als zehn", "draft", "human", None, at),
+        (ids["Zoom in", 0], "Sichern & mehr als zehn", "draft", "human", None, at),
         (ids["Quit", 0], "<g>", "draft", "human", None, at),
         (ids["Open %1 of %2", 0], "Öffne %1", "draft", "human", None, at),
         (ids["Open %1 of %2", 0], "%1 von %2 öffnen", "approved", "human", "me", at + dt.timedelta(1)),
         (99, "x", "draft", "human", None, at),
     ]
     errors = {r["id"]: r["error"] for r in engine.edit(spark.createDataFrame(edits, EDIT)).collect()}
-    assert errors[99] == "no such segment" and "well-formed" in errors[ids["Quit", 0]] and errors[ids["Save", 0]] is None
+    assert errors[99] == "no such segment" and "well-formed" in errors[ids["Quit", 0]] and errors[ids["Zoom in", 0]] is None
     assert {(r["kind"], r["severity"]) for r in engine.issue_totals().collect()} == {("length", "error")}
-    save = engine.segments(search="Save").collect()[0]
+    save = engine.segments(search="Zoom in").collect()[0]
     assert save["target_text"] == "Sichern &amp; mehr als zehn" and save["issues"][0]["kind"] == "length"
 
     assert engine.remember() == 1 and engine.remember() == 1
@@ -65,6 +65,6 @@ def test_a_project_from_import_to_export(spark, tmp_path, capsys):
     assert {r["name"]: r["approved"] for r in engine.files(project).collect()} == {"app.xlf": 1, "main.ts": 0}
     assert engine.inconsistencies().count() == 0
 
-    for line in (["projects"], ["files"], ["issues"], ["recheck"], ["inconsistencies"], ["glossary", str(project)], ["suggest", str(project), "Save"], ["export", str(tmp_path / "in")], ["remember"]):
+    for line in (["projects"], ["files"], ["issues"], ["recheck"], ["inconsistencies"], ["glossary", str(project)], ["suggest", str(project), "Zoom in"], ["export", str(tmp_path / "in")], ["remember"]):
         cli.run(engine, cli.parser().parse_args(["x", *line]))
     assert "app.xlf" in capsys.readouterr().out

@@ -72,3 +72,22 @@ def test_cosine(spark):
 @pytest.mark.parametrize(("target", "native", "wanted"), [(" ", "new", "untranslated"), ("a", "unfinished", "needs_review"), ("a", "translated", "draft"), ("a", None, "draft"), (None, None, "untranslated")])
 def test_status_from_native(spark, target, native, wanted):
     assert run(spark, text.status_from_native(F.col("t"), F.col("n")), [(target, native)], "t string, n string") == [wanted]
+
+
+def test_quoted_escapes_what_is_not_printable(spark):
+    from tolmach.kernels.markup import quoted
+
+    cases = ["a b", 'say "x"', "back\\slash", "tab\tline\nfeed\r", "nbsp\u00a0", "zero\u200bwidth", "\x01\x7f", "emoji 👍 ë", "\U000e0001", "\a\b\f\v", ""]
+    assert run(spark, text.quoted(F.col("t")), [(c,) for c in cases], "t string") == [quoted(c) for c in cases]
+    assert quoted("a\tb\u00a0") == '"a\\tb\\u00a0"'
+
+
+def test_repeated_attributes_are_accepted(spark):
+    from tolmach.kernels import markup as kernel
+
+    twice = '<g id="1" ctype="b" id="2">a &amp; b</g>'
+    assert kernel.fragment_error(twice) is None and kernel.plain_text(twice) == "a & b" and kernel.inline_elements(twice) == ['<g id="2">']
+    assert kernel.fragment_error('<g id="1" id="2">a') is not None
+    df = spark.createDataFrame([(twice,), ("%n {x}",), (None,)], "t string")
+    got = [(r["r"]["plain"], r["r"]["names"]) for r in df.select(markup.read_fragment(F.col("t"), F.lit("qt")).alias("r")).collect()]
+    assert got == [("a & b", ['<g id="2">']), ("%n {x}", ["%n", "{x}"]), (None, [])]

@@ -130,7 +130,7 @@ def test_xliff_units():
     assert langs == {"source": "en", "target": "de"}
     assert [(u["context"], u["targets"], u["native_state"], u["max_width"], u["notes"]) for u in units] == [
         ("app.ui / open", [""], "new", 0, ["in the menu"]),
-        ("app.ui / save", ["Speichern"], "translated", 10, []),
+        ("app.ui / zoom", ["Vergrößern"], "translated", 14, []),
         ("app.ui / later", [""], "", 0, []),
     ]
     assert units[0]["unit_key"] == documents.unit_key("xliff", "app.ui", "open")
@@ -184,14 +184,14 @@ def test_write_changes_only_what_was_updated(text, line):
 
 
 def test_states_are_written_by_format():
-    key = documents.unit_key("xliff", "app.ui", "save")
+    key = documents.unit_key("xliff", "app.ui", "zoom")
     out = documents.write("a.xlf", XLIFF.encode(), [(key, [""], "needs_review")]).decode()
     assert '<target state="needs-review-translation"/>' in out and 'approved="yes"' not in out
     ts = documents.write("a.ts", QTTS.encode(), [(documents.unit_key("ts", "Main", "%n file(s)", "count"), ["a", "b"], "approved")]).decode()
     assert "<translation><numerusform>a</numerusform><numerusform>b</numerusform></translation>" in ts
 
 
-@pytest.mark.parametrize("update", [("nokey", ["a"], ""), (documents.unit_key("xliff", "app.ui", "save"), ["a", "b"], ""), (documents.unit_key("xliff", "app.ui", "save"), ["<g>"], "")])
+@pytest.mark.parametrize("update", [("nokey", ["a"], ""), (documents.unit_key("xliff", "app.ui", "zoom"), ["a", "b"], ""), (documents.unit_key("xliff", "app.ui", "zoom"), ["<g>"], "")])
 def test_bad_updates_are_refused(update):
     with pytest.raises(ValueError):
         documents.write("a.xlf", XLIFF.encode(), [update])

@@ -169,3 +169,25 @@ def test_schema_guards(spark):
     assert schema.empty(spark, "segments").columns[:2] == ["id", "file_id"]
     with pytest.raises(Exception, match="unknown value odd"):
         rows.select(schema.in_domain(F.col("status"), schema.STATUSES, "status")).collect()
+
+
+def test_inconsistent_names_three_others_whatever_the_own_wording(spark):
+    s = "id long, project_id long, source_text string, target_text string, status string"
+    rows = [(i, 1, "s", t, "approved") for i, t in enumerate(["a", "b", " b", "c", "d", "e", "e", " ", ""])] + [(20, 1, "s", "b ", "draft"), (21, 1, "s", "z", "draft"), (22, 2, "s", "z", "draft"), (23, 1, "s", None, "draft"), (24, 1, None, "a", "approved")]
+    df = spark.createDataFrame(rows, s)
+    got = {r["id"]: r["others"] for r in checks.with_others(df, df).collect()}
+    known = ["a", "b", " b", "c", "d", "e", " ", ""]
+    for i, p, source, t, _ in rows:
+        one = spark.createDataFrame([(t, known if (p, source) == (1, "s") else [])], "t string, v array<string>").select(checks.consistency_issues(F.col("t"), F.col("v")).alias("i")).first()["i"]
+        assert got[i] == (one[0]["message"] if one else None), i
+    assert "and 1 more" in got[20] and "and 3 more" in got[21]
+
+
+def test_recheck_of_one_file_equals_that_part_of_all(spark):
+    seg = spark.createDataFrame([(i, i % 3, "Open %1 file", f"offen {i}", "approved" if i % 2 else "draft", 0) for i in range(12)], "id long, file_id long, source_text string, target_text string, status string, max_width int")
+    files = spark.createDataFrame([(f, 1, "qtts") for f in range(3)], "id long, project_id long, format string")
+    projects = spark.createDataFrame([(1, None)], "id long, length_tolerance float")
+    terms = spark.createDataFrame([(1, "file", "Datei\u00a0x", None)], "project_id long, source_term string, target_term string, case_sensitive boolean")
+    whole = {tuple(r) for r in checks.recheck(seg, files, projects, terms).collect() if r["segment_id"] % 3 == 1}
+    part = {tuple(r) for r in checks.recheck(seg, files, projects, terms, spark.createDataFrame([(1,)], "file_id long")).collect()}
+    assert part == whole and any("\\u00a0" in r[3] for r in part)

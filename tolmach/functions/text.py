@@ -70,9 +70,26 @@ def length_budget(length: Column, tolerance: Column) -> Column:
     return (usual * tolerance.cast("double")).cast("int")
 
 
+#: How control characters are written in findings' messages (fixed values).
+ESCAPES = {"\a": "\\a", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\v": "\\v", "\f": "\\f", "\r": "\\r"}
+_UNPRINTABLE = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
+
+
 def quoted(text: Column) -> Column:
-    """In double quotes, with quotes and backslashes escaped."""
-    return F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
+    """In double quotes, with quotes, backslashes and whatever is not printable escaped."""
+
+    def escaped(c: Column) -> Column:
+        code, made = F.ascii(c), F.lit(None).cast("string")
+        digits = F.lower(F.hex(code))
+        made = F.when(code < 0x80, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0"))).when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
+        for known, written in ESCAPES.items():
+            made = F.when(c == known, F.lit(written)).otherwise(made)
+        return F.when(F.regexp_like(c, F.lit(_UNPRINTABLE)), made).otherwise(c)
+
+    plain = F.regexp_replace(text, r'(["\\])', r"\\$1")
+    # few texts hold such characters, and only those are taken apart
+    made = F.when(F.regexp_like(plain, F.lit(_UNPRINTABLE)), F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)(.)"), F.lit(1)), escaped), "")).otherwise(plain)
+    return F.concat(F.lit('"'), made, F.lit('"'))
 
 
 def dialect(file_format: Column) -> Column:

@@ -24,8 +24,33 @@ def _numeric(match: re.Match) -> str:
     return f"&#{name2codepoint[name]};"
 
 
+_START_TAG = re.compile(r"<([^\s<>/!?]+)((?:\s+[^\s=<>\"'/]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))+)(\s*/?)>")
+_ATTRIBUTE = re.compile(r"\s+([^\s=<>\"'/]+)\s*=\s*(?:\"[^\"<]*\"|'[^'<]*')")
+
+
+def _once(fragment: str) -> str:
+    """A fragment in whose start tags each attribute stands once, the last of a name staying: expat refuses repeated ones."""
+
+    def kept(tag: re.Match) -> str:
+        last = {m[1]: m[0] for m in _ATTRIBUTE.finditer(tag[2])}
+        return f"<{tag[1]}{''.join(last.values())}{tag[3]}>"
+
+    return _START_TAG.sub(kept, fragment)
+
+
 def _parse(fragment: str, text: list[str] | None = None, starts: list[tuple[str, dict]] | None = None) -> str | None:
     """Feeds the given lists; the error of a malformed fragment, or None. Lists keep what came before an error."""
+    kept = [len(x) if x is not None else 0 for x in (text, starts)]
+    error = _feed(fragment, text, starts)
+    if error is not None and error.code == expat.errors.codes[expat.errors.XML_ERROR_DUPLICATE_ATTRIBUTE]:
+        for x, n in zip((text, starts), kept, strict=True):
+            if x is not None:
+                del x[n:]
+        error = _feed(_once(fragment), text, starts)
+    return None if error is None else f"translation is not well-formed XML: {error}"
+
+
+def _feed(fragment: str, text: list[str] | None, starts: list[tuple[str, dict]] | None) -> expat.ExpatError | None:
     parser = expat.ParserCreate("utf-8")
     depth = 0
 
@@ -45,7 +70,7 @@ def _parse(fragment: str, text: list[str] | None = None, starts: list[tuple[str,
     try:
         parser.Parse(f"<w>{_REFERENCE.sub(_numeric, fragment)}</w>".encode("utf-8", "surrogatepass"), True)
     except expat.ExpatError as error:
-        return f"translation is not well-formed XML: {error}"
+        return error
     return None
 
 
@@ -77,12 +102,7 @@ def quoted(text: str) -> str:
     return '"' + "".join(out) + '"'
 
 
-def inline_elements(fragment: str | None) -> list[str]:
-    """Names of inline elements in order, with their id where they have one; up to the first error."""
-    if not fragment or "<" not in fragment:
-        return []
-    starts: list[tuple[str, dict]] = []
-    _parse(fragment, starts=starts)
+def _inline_names(starts: list[tuple[str, dict]]) -> list[str]:
     found = []
     for name, attributes in starts:
         if name in INLINE:
@@ -91,6 +111,15 @@ def inline_elements(fragment: str | None) -> list[str]:
     return found
 
 
+def inline_elements(fragment: str | None) -> list[str]:
+    """Names of inline elements in order, with their id where they have one; up to the first error."""
+    if not fragment or "<" not in fragment:
+        return []
+    starts: list[tuple[str, dict]] = []
+    _parse(fragment, starts=starts)
+    return _inline_names(starts)
+
+
 # Placeholder syntaxes (fixed values): the two dialects differ in what a number after the sign means.
 _LENGTH = "(?:hh|h|ll|l|L|z|j|t|q)?"
 _NAMED = r"%\([A-Za-z_][A-Za-z0-9_]*\)[-+#0]*[0-9.]*[diouxXeEfgGaAcs@]"
@@ -153,11 +182,19 @@ def text_placeholders(text: str, dialect: str = "generic") -> list[str]:
     return found
 
 
+def read_fragment(fragment: str | None, dialect: str = "generic") -> tuple[str | None, list[str]]:
+    """Visible text and all placeholders of a fragment by one parse: inline elements first, then those of its text."""
+    if not fragment or ("<" not in fragment and "&" not in fragment and "\r" not in fragment):
+        return fragment, text_placeholders(fragment, dialect) if fragment else []
+    text: list[str] = []
+    starts: list[tuple[str, dict]] = []
+    plain = fragment if _parse(fragment, text, starts) else "".join(text)
+    return plain, _inline_names(starts) + text_placeholders(plain, dialect)
+
+
 def placeholders(fragment: str | None, dialect: str = "generic") -> list[str]:
-    """All placeholders of a fragment: inline elements first, then those of its text."""
-    if not fragment:
-        return []
-    return inline_elements(fragment) + text_placeholders(plain_text(fragment) or "", dialect)
+    """All placeholders of a fragment."""
+    return read_fragment(fragment, dialect)[1]
 
 
 def percent_kind(name: str) -> str:

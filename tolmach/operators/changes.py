@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,9 @@ def import_counts(units: DataFrame) -> DataFrame:
         F.sum(F.when(~F.col("skipped"), F.col("blank")).otherwise(0)).alias("untranslated"),
         F.count_if(F.col("skipped")).alias("skipped"),
     )
+
+
+def numbered(rows: DataFrame, groups: list[str], key: str, order: str) -> DataFrame:
+    """Rows whose repeated keys within their group get -1, -2 ... in the given order."""
+    nth = F.row_number().over(Window.partitionBy(*groups, key).orderBy(order)) - 1
+    return rows.withColumn("_n", nth).withColumn(key, F.when(F.col("_n") > 0, F.concat(key, F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col(key))).drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
@@ -71,21 +71,53 @@ def glossary_by_project(terms: DataFrame) -> DataFrame:
 def run_checks(segments: DataFrame) -> DataFrame:
     """Adds ``issues`` to rows with source_text, target_text, max_width, tolerance, dialect, glossary and variants.
 
-    Nothing is checked while the target is blank. Each text is parsed once.
+    Instead of ``variants`` (an array of approved wordings) rows may hold ``others``, the
+    message of ``inconsistent`` or null. Nothing is checked while the target is blank.
+    Each text is parsed once.
     """
-    read = segments.withColumns({
-        "_s": markup.plain_text(F.col("source_text")),
-        "_t": markup.plain_text(F.col("target_text")),
-        "_ps": markup.placeholders(F.col("source_text"), F.col("dialect")),
-        "_pt": markup.placeholders(F.col("target_text"), F.col("dialect")),
-    })
+    read = segments.withColumns({"_s": markup.read_fragment(F.col("source_text"), F.col("dialect")), "_t": markup.read_fragment(F.col("target_text"), F.col("dialect"))})
+    if "others" in segments.columns:
+        consistency = F.when(F.col("others").isNull(), none()).otherwise(F.array(_issue("inconsistency", "warning", F.col("others"))))
+    else:
+        consistency = consistency_issues(F.col("target_text"), F.col("variants"))
     found = F.concat(
-        placeholder_issues(F.col("_ps"), F.col("_pt")),
-        length_issues(F.col("_s"), F.col("_t"), F.coalesce("max_width", F.lit(0)), F.col("tolerance")),
-        terminology_issues(F.col("_s"), F.col("_t"), F.col("glossary")),
-        consistency_issues(F.col("target_text"), F.col("variants")),
+        placeholder_issues(F.col("_s.names"), F.col("_t.names")),
+        length_issues(F.col("_s.plain"), F.col("_t.plain"), F.coalesce("max_width", F.lit(0)), F.col("tolerance")),
+        terminology_issues(F.col("_s.plain"), F.col("_t.plain"), F.col("glossary")),
+        consistency,
     )
-    return read.withColumn("issues", F.when(text.is_blank(F.col("target_text")), none()).otherwise(found)).drop("_s", "_t", "_ps", "_pt")
+    return read.withColumn("issues", F.when(text.is_blank(F.col("target_text")), none()).otherwise(found)).drop("_s", "_t")
+
+
+def inconsistent(placed: DataFrame, approved: DataFrame) -> DataFrame:
+    """Messages on wordings other than the approved ones: (project_id, skey, tkey, others).
+
+    Both: (project_id, source_text, target_text), ``approved`` being those that count. Keys
+    are digests of the source and of the trimmed target. A source's approved wordings are
+    ranked and the first four kept beside their number: three others can be named
+    whichever is the row's own, so no array grows with the wordings of a source.
+    """
+    skey, tkey = F.md5("source_text").alias("skey"), F.md5("t").alias("tkey")
+    trimmed = approved.withColumn("t", text.trim_space(F.col("target_text"))).where("t <> ''")
+    wordings = trimmed.select("project_id", skey, tkey, "t", "target_text").distinct().groupBy("project_id", "skey", "tkey").agg(F.min("t").alias("t"), F.count("*").alias("c"))
+    source = ["project_id", "skey"]
+    totals = wordings.groupBy(*source).agg(F.sum("c").alias("all"), F.count("*").alias("n"))
+    first = wordings.withColumn("r", F.row_number().over(Window.partitionBy(*source).orderBy("t"))).where("r <= 4")
+    named = first.groupBy(*source).agg(F.array_sort(F.collect_list(F.struct("t", "c"))).alias("first"))
+    rows = placed.withColumn("t", text.trim_space(F.col("target_text"))).where("t <> ''").select("project_id", skey, tkey, "t").distinct()
+    own = wordings.select(*source, "tkey", F.col("c").alias("own"))
+    judged = rows.join(named.join(totals, source), source).join(own, [*source, "tkey"], "left").withColumn("left", F.col("all") - F.coalesce("own", F.lit(0))).where("left > 0")
+    other = F.flatten(F.transform(F.filter("first", lambda x: x["t"] != F.col("t")), lambda x: F.array_repeat(x["t"], x["c"].cast("int"))))
+    more = F.when(F.col("left") > 3, F.concat(F.lit(" and "), (F.col("left") - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    message = F.concat(F.lit("the same source string is approved elsewhere as "), _list(F.slice(other, 1, 3)), more)
+    return judged.select(*source, "tkey", message.alias("others"))
+
+
+def with_others(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Adds ``others`` to rows (project_id, source_text, target_text): what ``inconsistent`` says of them beside the approved of ``placed`` (status as well), or null."""
+    found = inconsistent(rows, placed.where((F.col("status") == "approved") & (F.col("target_text") != "")))
+    keyed = rows.withColumns({"skey": F.md5("source_text"), "tkey": F.md5(text.trim_space(F.col("target_text")))})
+    return keyed.join(found, ["project_id", "skey", "tkey"], "left").drop("skey", "tkey")
 
 
 def blocking(issues: Column) -> Column:
@@ -98,19 +130,21 @@ def first_blocking(issues: Column) -> Column:
     return F.try_element_at(F.filter(issues, lambda i: i["severity"] == "error"), F.lit(1))["message"]
 
 
-def recheck(segments: DataFrame, files: DataFrame, projects: DataFrame, terms: DataFrame) -> DataFrame:
+def place(segments: DataFrame, files: DataFrame, projects: DataFrame) -> DataFrame:
+    """Segments with the project, dialect and tolerance of their file."""
+    where = files.select(F.col("id").alias("file_id"), "project_id", text.dialect(F.col("format")).alias("dialect")).join(projects.select(F.col("id").alias("project_id"), F.col("length_tolerance").alias("tolerance")), "project_id")
+    return segments.join(where, "file_id")
+
+
+def recheck(segments: DataFrame, files: DataFrame, projects: DataFrame, terms: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """All findings of all segments: (segment_id, kind, severity, message, ordinal).
 
-    Consistency is judged against other approved segments of the same project with the
-    same source. Approved wordings are aggregated per (project, source) before the join.
+    Consistency is judged against approved segments of the same project with the same
+    source. With ``only`` (file_id) just the segments of these files are checked, still
+    against all approved ones.
     """
-    where = files.select(F.col("id").alias("file_id"), "project_id", "format").join(projects.select(F.col("id").alias("project_id"), F.col("length_tolerance").alias("tolerance")), "project_id")
-    placed = segments.join(where, "file_id")
-    approved = (
-        placed.where((F.col("status") == "approved") & (F.col("target_text") != ""))
-        .groupBy("project_id", "source_text")
-        .agg(F.collect_set("target_text").alias("variants"))
-    )
-    rows = placed.join(approved, ["project_id", "source_text"], "left").join(glossary_by_project(terms), "project_id", "left").withColumn("dialect", text.dialect(F.col("format")))
-    checked = run_checks(rows)
+    placed = place(segments, files, projects)
+    mine = placed if only is None else placed.join(only.select("file_id").distinct(), "file_id", "left_semi")
+    rows = with_others(mine, placed)
+    checked = run_checks(rows.join(glossary_by_project(terms), "project_id", "left"))
     return checked.select(F.col("id").alias("segment_id"), F.posexplode("issues").alias("ordinal", "issue")).select("segment_id", "issue.kind", "issue.severity", "issue.message", "ordinal")

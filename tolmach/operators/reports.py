@@ -29,12 +29,16 @@ def file_stats(segments: DataFrame, issues: DataFrame) -> DataFrame:
     )
 
 
-def segments_page(segments: DataFrame, issues: DataFrame | None = None, file_id: int | None = None, status: str = "", search: str = "", literal: bool = False, with_issue: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of segments in the order of their ids.
+#: How many rows a page holds where none is asked for: of the programming interface, of the command line, the most there may be.
+PAGE, COMMAND_PAGE, LARGEST_PAGE, DEFAULT_LIMIT = 50, 500, 500, 100
+
+
+def matching(segments: DataFrame, issues: DataFrame | None = None, file_id: int | None = None, status: str = "", search: str = "", literal: bool = False, with_issue: bool = False) -> DataFrame:
+    """Segments that pass the filters that are set.
 
     ``search`` is a case-insensitive pattern in source or target, with % and _ as
-    wildcards unless ``literal``; a limit of 0 or less, or above 500, is 100. Only the
-    filters that are set are in the plan, so those on stored columns reach the scan.
+    wildcards unless ``literal``. Only the filters that are set are in the plan, so those
+    on stored columns reach the scan.
     """
     rows = segments
     if file_id is not None:
@@ -46,7 +50,12 @@ def segments_page(segments: DataFrame, issues: DataFrame | None = None, file_id:
         rows = rows.where(F.coalesce(both[0], F.lit(False)) | F.coalesce(both[1], F.lit(False)))
     if with_issue and issues is not None:
         rows = rows.join(issues.select(F.col("segment_id").alias("id")), "id", "left_semi")
-    return rows.orderBy("id").offset(max(0, offset)).limit(limit if 0 < limit <= 500 else 100)
+    return rows
+
+
+def segments_page(segments: DataFrame, issues: DataFrame | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0, **filters) -> DataFrame:
+    """One page of the segments that ``matching`` finds, in the order of their ids; a limit of 0 or less, or above 500, is 100."""
+    return matching(segments, issues, **filters).orderBy("id").offset(max(0, offset)).limit(limit if 0 < limit <= LARGEST_PAGE else DEFAULT_LIMIT)
 
 
 def page_total(page_rows: DataFrame) -> DataFrame:
@@ -66,15 +75,29 @@ def approved(segments: DataFrame, files: DataFrame) -> DataFrame:
     return segments.where((F.col("status") == "approved") & (F.col("target_text") != "")).join(where, "file_id")
 
 
+def wordings(segments: DataFrame, files: DataFrame) -> DataFrame:
+    """Approved wordings of each source within its project, a row each: (project_id, source_text, target_text)."""
+    return approved(segments, files).select("project_id", "source_text", "target_text").distinct()
+
+
 def approved_by_source(segments: DataFrame, files: DataFrame) -> DataFrame:
-    """Approved wordings of each source within its project: (project_id, source_text, variants sorted)."""
-    return approved(segments, files).groupBy("project_id", "source_text").agg(F.array_sort(F.collect_set("target_text")).alias("variants"))
+    """Approved wordings of each source within its project as one array: (project_id, source_text, variants sorted). ``wordings`` has them as rows."""
+    return wordings(segments, files).groupBy("project_id", "source_text").agg(F.array_sort(F.collect_list("target_text")).alias("variants"))
 
 
 def inconsistent_sources(segments: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
-    """Sources with more than one approved wording; in binary order of the source if limited."""
-    found = approved_by_source(segments, files).where(F.size("variants") > 1)
-    return found if limit is None else found.orderBy("source_text", "project_id").limit(limit if limit > 0 else 100)
+    """Sources with more than one approved wording; in binary order of the source if limited.
+
+    The sources are found by the least and the greatest of their wordings, so only these
+    have an array, and with a limit only those within it.
+    """
+    rows = approved(segments, files).select("project_id", "source_text", "target_text")
+    keys = ["project_id", "source_text"]
+    found = rows.groupBy(*keys).agg(F.min("target_text").alias("least"), F.max("target_text").alias("most")).where("least <> most").select(*keys)
+    if limit is not None:
+        found = found.orderBy("source_text", "project_id").limit(limit if limit > 0 else 100)
+    made = rows.join(found, keys, "left_semi").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("target_text")).alias("variants"))
+    return made if limit is None else made.orderBy("source_text", "project_id")
 
 
 def other_approved(segments: DataFrame, files: DataFrame) -> DataFrame:

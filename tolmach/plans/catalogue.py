@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
@@ -58,13 +58,13 @@ def q_segments_page(spark, folder):
 @_query
 def q_segments_literal_search(spark, folder):
     rows = _segments(spark, folder, "status", "source_text", "target_text")
-    return reports.page_total(rows.where(F.contains(F.lower("source_text"), F.lit("100%")) | F.contains(F.lower("source_text"), F.lit("%1"))))
+    return reports.page_total(reports.matching(rows, search="100%", literal=True))
 
 
 @_query
 def q_segments_with_issues(spark, folder):
     rows = _segments(spark, folder, "file_id", "status")
-    return rows.join(table(spark, folder, "qa_issues").select(F.col("segment_id").alias("id")), "id", "left_semi")
+    return reports.matching(rows, table(spark, folder, "qa_issues"), with_issue=True)
 
 
 @_query
@@ -127,9 +127,8 @@ def q_normalize_fragment(spark, folder):
 @_query
 def q_unit_keys(spark, folder):
     rows = _segments(spark, folder, "file_id", "context", "source_text")
-    keyed = rows.select("id", "file_id", text.unit_key(F.lit("ts"), F.coalesce("context", F.lit("")), F.coalesce("source_text", F.lit("")), F.lit("")).alias("k"))
-    nth = F.row_number().over(Window.partitionBy("file_id", "k").orderBy("id")) - 1
-    return keyed.withColumn("n", nth).select("id", F.when(F.col("n") > 0, F.concat("k", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("k")).alias("unit_key"))
+    keyed = rows.select("id", "file_id", text.unit_key(F.lit("ts"), F.coalesce("context", F.lit("")), F.coalesce("source_text", F.lit("")), F.lit("")).alias("unit_key"))
+    return changes.numbered(keyed, ["file_id"], "unit_key", "id").select("id", "unit_key")
 
 
 @_query
@@ -139,7 +138,7 @@ def q_plain_text(spark, folder):
 
 @_query
 def q_fragment_errors(spark, folder):
-    rows = _segments(spark, folder, "target_text").where(F.regexp_like("target_text", F.lit("[<&]")))
+    rows = _segments(spark, folder, "target_text").where(F.col("target_text").isNotNull())
     return rows.select("id", markup.fragment_error(F.col("target_text")).isNotNull().alias("broken"))
 
 
@@ -151,15 +150,20 @@ def q_percent_placeholders(spark, folder):
 
 @_query
 def q_brace_placeholders(spark, folder):
-    rows = _segments(spark, folder, "source_text").where(F.regexp_like("source_text", F.lit(r"\{")))
     found = markup.placeholders(F.col("source_text"), F.lit("generic"))
-    return rows.select("id", F.array_join(F.filter(found, lambda x: x.startswith("{")), " ").alias("found"))
+    return _segments(spark, folder, "source_text").select("id", F.array_join(F.filter(found, lambda x: x.startswith("{")), " ").alias("found"))
+
+
+@_query
+def q_placeholders(spark, folder):
+    """Every placeholder of every source, in both dialects."""
+    rows = _segments(spark, folder, "source_text")
+    return rows.select("id", *[F.array_join(markup.placeholders(F.col("source_text"), F.lit(d)), " ").alias(d) for d in ("generic", "qt")])
 
 
 @_query
 def q_inline_placeholders(spark, folder):
-    rows = _segments(spark, folder, "target_text").where(F.regexp_like("target_text", F.lit("<(g|x|ph) ")) & markup.fragment_error(F.col("target_text")).isNull())
-    return rows.select("id", F.array_join(markup.inline_elements(F.col("target_text")), " ").alias("found"))
+    return _segments(spark, folder, "target_text").select("id", F.array_join(markup.inline_elements(F.col("target_text")), " ").alias("found"))
 
 
 @_query
@@ -199,8 +203,8 @@ def q_length_check(spark, folder):
 @_query
 def q_terminology(spark, folder):
     rows = _placed(spark, folder, "source_text", "target_text").where(~text.is_blank(F.col("target_text")))
-    terms = checks.glossary_by_project(table(spark, folder, "glossary_terms").where(F.length(F.trim("source_term")) > 0))
-    joined = rows.join(terms, "project_id")
+    read = rows.withColumns({c: markup.plain_text(F.col(c)) for c in ("source_text", "target_text")})
+    joined = read.join(checks.glossary_by_project(table(spark, folder, "glossary_terms")), "project_id")
     found = checks.terminology_issues(F.col("source_text"), F.col("target_text"), F.col("glossary"))
     return joined.select("id", F.explode(found).alias("i")).groupBy("id").agg(F.count("*").alias("n"), F.min("i.message").alias("first_message"))
 
@@ -208,9 +212,7 @@ def q_terminology(spark, folder):
 @_query
 def q_consistency_warnings(spark, folder):
     rows = _placed(spark, folder, "source_text", "target_text", "status")
-    variants = rows.where((F.col("status") == "approved") & (F.col("target_text") != "")).groupBy("project_id", "source_text").agg(F.collect_set("target_text").alias("variants"))
-    found = checks.consistency_issues(F.col("target_text"), F.col("variants"))
-    return rows.join(variants, ["project_id", "source_text"]).select("id", F.explode(found).alias("i")).select("id", "i.message")
+    return checks.with_others(rows, rows).where(F.col("others").isNotNull()).select("id", F.col("others").alias("message"))
 
 
 @_query
@@ -261,8 +263,8 @@ def q_first_per_pair(spark, folder):
 def q_index_rows(spark, folder):
     """Approved segments as memory rows with vectors of a stand-in embedder: rows and vectors per project."""
     rows = _placed(spark, folder, "unit_key", "form_index", "source_text", "target_text", "status").where((F.col("status") == "approved") & (F.col("target_text") != ""))
-    made = memory.index_rows(rows, memory.HashingEmbedder(64))
-    return made.groupBy("project_id").agg(F.count("*").alias("entries"), F.count_if(F.size("embedding") == 64).alias("vectors"))
+    made = memory.index_rows(rows, memory.HashingEmbedder(384))
+    return made.groupBy("project_id").agg(F.count("*").alias("entries"), F.count_if(F.size("embedding") == 384).alias("vectors"))
 
 
 # Changes
@@ -315,7 +317,7 @@ def q_unit_forms(spark, folder):
 def q_export_worked(spark, folder):
     """Units whose segments were worked on or whose text differs from the file."""
     seg = changes.latest(table(spark, folder, "segments").select("id", "file_id", "unit_key", "form_index", "target_text", "status", "origin", "reviewed_by", "updated_at"), ["file_id", "unit_key", "form_index"], ["updated_at", "id"])
-    units = table(spark, folder, "units").dropDuplicates(["file_id", "unit_key"])
+    units = memory.first_per_pair(table(spark, folder, "units"), ["file_id", "unit_key"], ["ordinal", "source", "targets"])
     return file_source.updates(units, seg).select("file_id", "unit_key", F.array_join("targets", "\n").alias("targets"), "state")
 
 
