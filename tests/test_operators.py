@@ -175,7 +175,7 @@ def test_inconsistent_names_three_others_whatever_the_own_wording(spark):
     s = "id long, project_id long, source_text string, target_text string, status string"
     rows = [(i, 1, "s", t, "approved") for i, t in enumerate(["a", "b", " b", "c", "d", "e", "e", " ", ""])] + [(20, 1, "s", "b ", "draft"), (21, 1, "s", "z", "draft"), (22, 2, "s", "z", "draft"), (23, 1, "s", None, "draft"), (24, 1, None, "a", "approved")]
     df = spark.createDataFrame(rows, s)
-    got = {r["id"]: r["others"] for r in checks.with_others(df, df).collect()}
+    got = {r["id"]: r["others"] for r in checks.with_others(df).collect()}
     known = ["a", "b", " b", "c", "d", "e", " ", ""]
     for i, p, source, t, _ in rows:
         one = spark.createDataFrame([(t, known if (p, source) == (1, "s") else [])], "t string, v array<string>").select(checks.consistency_issues(F.col("t"), F.col("v")).alias("i")).first()["i"]

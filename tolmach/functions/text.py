@@ -45,12 +45,14 @@ def unit_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 24)
 
 
-def contains_word(text: Column, term: Column, case_sensitive: Column) -> Column:
+def contains_word(text: Column, term: Column, case_sensitive: Column, lower: Column | None = None) -> Column:
     """Whether a term occurs where no letter, digit or underscore stands before it; endings may follow.
 
-    A plain search comes first, so the pattern is built for the few texts that hold the term at all.
+    A plain search comes first, so the pattern is built for the few texts that hold the
+    term at all. Where many terms are looked for in one text, ``lower`` is the text in
+    lower case, made once.
     """
-    hay = F.when(case_sensitive, text).otherwise(F.lower(text))
+    hay = F.when(case_sensitive, text).otherwise(F.lower(text) if lower is None else lower)
     needle = F.when(case_sensitive, term).otherwise(F.lower(term))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{Nd}_])\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     return F.when((needle == "") | ~F.contains(hay, needle), F.lit(False)).otherwise(F.regexp_like(hay, pattern))
@@ -70,25 +72,21 @@ def length_budget(length: Column, tolerance: Column) -> Column:
     return (usual * tolerance.cast("double")).cast("int")
 
 
-#: How control characters are written in findings' messages (fixed values).
-ESCAPES = {"\a": "\\a", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\v": "\\v", "\f": "\\f", "\r": "\\r"}
-_UNPRINTABLE = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
+#: How characters are written in quoted texts of findings' messages (fixed values).
+ESCAPES = {'"': '\\"', "\\": "\\\\", "\a": "\\a", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\v": "\\v", "\f": "\\f", "\r": "\\r"}
+_SPECIAL = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]|[\"\\\\]"
 
 
 def quoted(text: Column) -> Column:
     """In double quotes, with quotes, backslashes and whatever is not printable escaped."""
 
     def escaped(c: Column) -> Column:
-        code, made = F.ascii(c), F.lit(None).cast("string")
-        digits = F.lower(F.hex(code))
-        made = F.when(code < 0x80, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0"))).when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
-        for known, written in ESCAPES.items():
-            made = F.when(c == known, F.lit(written)).otherwise(made)
-        return F.when(F.regexp_like(c, F.lit(_UNPRINTABLE)), made).otherwise(c)
-
-    plain = F.regexp_replace(text, r'(["\\])', r"\\$1")
+        digits, code = F.lower(F.hex(F.ascii(c))), F.ascii(c)
+        other = F.when(code < 0x80, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0"))).when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
+        return F.when(F.regexp_like(c, F.lit(_SPECIAL)), F.coalesce(F.element_at(F.str_to_map(F.lit("".join(f"{k}={v}|" for k, v in ESCAPES.items())), F.lit("[|]"), F.lit("=")), c), other)).otherwise(c)
+
     # few texts hold such characters, and only those are taken apart
-    made = F.when(F.regexp_like(plain, F.lit(_UNPRINTABLE)), F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)(.)"), F.lit(1)), escaped), "")).otherwise(plain)
+    made = F.when(F.regexp_like(text, F.lit(_SPECIAL)), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), escaped), "")).otherwise(text)
     return F.concat(F.lit('"'), made, F.lit('"'))
 
 

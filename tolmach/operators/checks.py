@@ -44,15 +44,23 @@ def length_issues(source_plain: Column, target_plain: Column, max_width: Column,
     )
 
 
-def terminology_issues(source_plain: Column, target_plain: Column, glossary: Column) -> Column:
-    """One warning per term (source, target, cased) that the source has and the target lacks, in the glossary's order."""
+def terminology_issues(source: Column, target: Column, glossary: Column) -> Column:
+    """One warning per term (source, target, cased) that the source has and the target lacks, in the glossary's order.
+
+    ``source`` and ``target`` are structs of the visible text (plain) and the same in lower case (lower).
+    """
     unmet = F.filter(
         F.coalesce(glossary, F.array().cast("array<struct<source:string,target:string,cased:boolean>>")),
-        lambda t: (t["source"] != "") & (t["target"] != "") & text.contains_word(source_plain, t["source"], t["cased"]) & ~text.contains_word(target_plain, t["target"], t["cased"]),
+        lambda t: (t["source"] != "") & (t["target"] != "") & text.contains_word(source["plain"], t["source"], t["cased"], source["lower"]) & ~text.contains_word(target["plain"], t["target"], t["cased"], target["lower"]),
     )
     return F.transform(unmet, lambda t: _issue("terminology", "warning", F.concat(F.lit("glossary: "), text.quoted(t["source"]), F.lit(" should be translated as "), text.quoted(t["target"]))))
 
 
+def both_cases(plain: Column) -> Column:
+    """A text and the same in lower case, as one struct."""
+    return F.struct(plain.alias("plain"), F.lower(plain).alias("lower"))
+
+
 def consistency_issues(target: Column, variants: Column) -> Column:
     """A warning that names up to three approved wordings (array) other than the target."""
     own = text.trim_space(target)
@@ -75,59 +83,60 @@ def run_checks(segments: DataFrame) -> DataFrame:
     message of ``inconsistent`` or null. Nothing is checked while the target is blank.
     Each text is parsed once.
     """
-    read = segments.withColumns({"_s": markup.read_fragment(F.col("source_text"), F.col("dialect")), "_t": markup.read_fragment(F.col("target_text"), F.col("dialect"))})
+    read = segments.withColumns({"_rs": markup.read_fragment(F.col("source_text"), F.col("dialect")), "_rt": markup.read_fragment(F.col("target_text"), F.col("dialect"))})
+    # columns of their own, so nothing is worked out again for each term
+    read = read.withColumns({"_ns": F.col("_rs.names"), "_nt": F.col("_rt.names"), "_s": both_cases(F.col("_rs.plain")), "_t": both_cases(F.col("_rt.plain"))})
     if "others" in segments.columns:
         consistency = F.when(F.col("others").isNull(), none()).otherwise(F.array(_issue("inconsistency", "warning", F.col("others"))))
     else:
         consistency = consistency_issues(F.col("target_text"), F.col("variants"))
     found = F.concat(
-        placeholder_issues(F.col("_s.names"), F.col("_t.names")),
+        # most pairs have the same placeholders, and only the others are compared one by one
+        F.when(F.array_sort("_ns") == F.array_sort("_nt"), none()).otherwise(placeholder_issues(F.col("_ns"), F.col("_nt"))),
         length_issues(F.col("_s.plain"), F.col("_t.plain"), F.coalesce("max_width", F.lit(0)), F.col("tolerance")),
-        terminology_issues(F.col("_s.plain"), F.col("_t.plain"), F.col("glossary")),
+        terminology_issues(F.col("_s"), F.col("_t"), F.col("glossary")),
         consistency,
     )
-    return read.withColumn("issues", F.when(text.is_blank(F.col("target_text")), none()).otherwise(found)).drop("_s", "_t")
+    return read.withColumn("issues", F.when(text.is_blank(F.col("target_text")), none()).otherwise(found)).drop("_s", "_t", "_rs", "_rt", "_ns", "_nt")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with digests of their source and of their trimmed target as keys."""
+    return rows.withColumns({"skey": F.md5("source_text"), "tkey": F.md5(text.trim_space(F.col("target_text")))})
 
 
-def inconsistent(placed: DataFrame, approved: DataFrame) -> DataFrame:
+def inconsistent(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """Messages on wordings other than the approved ones: (project_id, skey, tkey, others).
 
-    Both: (project_id, source_text, target_text), ``approved`` being those that count. Keys
-    are digests of the source and of the trimmed target. A source's approved wordings are
-    ranked and the first four kept beside their number: three others can be named
-    whichever is the row's own, so no array grows with the wordings of a source.
+    ``rows``: (project_id, source_text, target_text, status); ``among``: rows whose approved
+    wordings count as well. Keys are digests of the source and of the trimmed target. A
+    source's approved wordings are ranked and the first four kept beside their number:
+    three others can be named whichever is the row's own, so no array grows with the
+    wordings of a source.
     """
-    skey, tkey = F.md5("source_text").alias("skey"), F.md5("t").alias("tkey")
-    trimmed = approved.withColumn("t", text.trim_space(F.col("target_text"))).where("t <> ''")
-    wordings = trimmed.select("project_id", skey, tkey, "t", "target_text").distinct().groupBy("project_id", "skey", "tkey").agg(F.min("t").alias("t"), F.count("*").alias("c"))
-    source = ["project_id", "skey"]
-    totals = wordings.groupBy(*source).agg(F.sum("c").alias("all"), F.count("*").alias("n"))
-    first = wordings.withColumn("r", F.row_number().over(Window.partitionBy(*source).orderBy("t"))).where("r <= 4")
-    named = first.groupBy(*source).agg(F.array_sort(F.collect_list(F.struct("t", "c"))).alias("first"))
-    rows = placed.withColumn("t", text.trim_space(F.col("target_text"))).where("t <> ''").select("project_id", skey, tkey, "t").distinct()
-    own = wordings.select(*source, "tkey", F.col("c").alias("own"))
-    judged = rows.join(named.join(totals, source), source).join(own, [*source, "tkey"], "left").withColumn("left", F.col("all") - F.coalesce("own", F.lit(0))).where("left > 0")
-    other = F.flatten(F.transform(F.filter("first", lambda x: x["t"] != F.col("t")), lambda x: F.array_repeat(x["t"], x["c"].cast("int"))))
+    counted = (F.col("status") == "approved") & (F.col("target_text") != "")
+    parts = rows.select("project_id", "source_text", "target_text", counted.alias("counts"))
+    if among is not None:
+        parts = parts.union(among.where(counted).select("project_id", "source_text", "target_text", F.lit(True)))
+    trimmed = parts.withColumn("t", text.trim_space(F.col("target_text"))).where("t <> ''")
+    raw = F.when(F.col("counts"), F.md5("target_text")).alias("raw")
+    each = trimmed.select("project_id", F.md5("source_text").alias("skey"), F.md5("t").alias("tkey"), "t", raw).distinct()
+    own = each.groupBy("project_id", "skey", "tkey").agg(F.first("t").alias("t"), F.count("raw").alias("own"))
+    # most sources have one wording only, and those go no further
+    source = Window.partitionBy("project_id", "skey")
+    several = own.withColumns({"all": F.sum("own").over(source), "n": F.count("*").over(source)}).where("all > 0 AND n > 1")
+    placed = several.withColumn("r", F.row_number().over(source.orderBy((F.col("own") > 0).desc(), "t")))
+    best = placed.groupBy("project_id", "skey").agg(*[F.max(F.when((F.col("r") == i) & (F.col("own") > 0), F.struct("t", "own"))).alias(f"w{i}") for i in range(1, 5)])
+    judged = placed.join(best, ["project_id", "skey"]).withColumn("left", F.col("all") - F.col("own")).where("left > 0")
+    listed = F.filter(F.array("w1", "w2", "w3", "w4"), lambda x: x["t"] != F.col("t"))  # a null is no wording
+    other = F.slice(F.flatten(F.transform(listed, lambda x: F.array_repeat(x["t"], F.least(x["own"], F.lit(3)).cast("int")))), 1, 3)
     more = F.when(F.col("left") > 3, F.concat(F.lit(" and "), (F.col("left") - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    message = F.concat(F.lit("the same source string is approved elsewhere as "), _list(F.slice(other, 1, 3)), more)
-    return judged.select(*source, "tkey", message.alias("others"))
-
-
-def with_others(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Adds ``others`` to rows (project_id, source_text, target_text): what ``inconsistent`` says of them beside the approved of ``placed`` (status as well), or null."""
-    found = inconsistent(rows, placed.where((F.col("status") == "approved") & (F.col("target_text") != "")))
-    keyed = rows.withColumns({"skey": F.md5("source_text"), "tkey": F.md5(text.trim_space(F.col("target_text")))})
-    return keyed.join(found, ["project_id", "skey", "tkey"], "left").drop("skey", "tkey")
-
-
-def blocking(issues: Column) -> Column:
-    """Whether a finding is an error."""
-    return F.exists(issues, lambda i: i["severity"] == "error")
+    return judged.select("project_id", "skey", "tkey", F.concat(F.lit("the same source string is approved elsewhere as "), _list(other), more).alias("others"))
 
 
-def first_blocking(issues: Column) -> Column:
-    """The message of the first error, or null."""
-    return F.try_element_at(F.filter(issues, lambda i: i["severity"] == "error"), F.lit(1))["message"]
+def with_others(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Adds ``others`` to rows (project_id, source_text, target_text, status): what ``inconsistent`` says of them, or null."""
+    return _keyed(rows).join(inconsistent(rows, among), ["project_id", "skey", "tkey"], "left").drop("skey", "tkey")
 
 
 def place(segments: DataFrame, files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -144,7 +153,6 @@ def recheck(segments: DataFrame, files: DataFrame, projects: DataFrame, terms: D
     against all approved ones.
     """
     placed = place(segments, files, projects)
-    mine = placed if only is None else placed.join(only.select("file_id").distinct(), "file_id", "left_semi")
-    rows = with_others(mine, placed)
+    rows = with_others(placed) if only is None else with_others(placed.join(only.select("file_id").distinct(), "file_id", "left_semi"), placed)
     checked = run_checks(rows.join(glossary_by_project(terms), "project_id", "left"))
     return checked.select(F.col("id").alias("segment_id"), F.posexplode("issues").alias("ordinal", "issue")).select("segment_id", "issue.kind", "issue.severity", "issue.message", "ordinal")

@@ -204,6 +204,7 @@ def q_length_check(spark, folder):
 def q_terminology(spark, folder):
     rows = _placed(spark, folder, "source_text", "target_text").where(~text.is_blank(F.col("target_text")))
     read = rows.withColumns({c: markup.plain_text(F.col(c)) for c in ("source_text", "target_text")})
+    read = read.withColumns({c: checks.both_cases(F.col(c)) for c in ("source_text", "target_text")})
     joined = read.join(checks.glossary_by_project(table(spark, folder, "glossary_terms")), "project_id")
     found = checks.terminology_issues(F.col("source_text"), F.col("target_text"), F.col("glossary"))
     return joined.select("id", F.explode(found).alias("i")).groupBy("id").agg(F.count("*").alias("n"), F.min("i.message").alias("first_message"))
@@ -212,7 +213,7 @@ def q_terminology(spark, folder):
 @_query
 def q_consistency_warnings(spark, folder):
     rows = _placed(spark, folder, "source_text", "target_text", "status")
-    return checks.with_others(rows, rows).where(F.col("others").isNotNull()).select("id", F.col("others").alias("message"))
+    return checks.with_others(rows).where(F.col("others").isNotNull()).select("id", F.col("others").alias("message"))
 
 
 @_query
