@@ -78,7 +78,7 @@ def test_quoted_escapes_what_is_not_printable(spark):
     from tolmach.kernels.markup import quoted
 
     cases = ["a b", 'say "x"', "back\\slash", "tab\tline\nfeed\r", "nbsp\u00a0", "zero\u200bwidth", "\x01\x7f", "emoji 👍 ë", "\U000e0001", "\a\b\f\v", ""]
-    assert run(spark, text.quoted(F.col("t")), [(c,) for c in cases], "t string") == [quoted(c) for c in cases]
+    assert run(spark, text.printable(text.quoted(F.col("t"))), [(c,) for c in cases], "t string") == [quoted(c) for c in cases]
     assert quoted("a\tb\u00a0") == '"a\\tb\\u00a0"'
 
 

@@ -72,22 +72,25 @@ def length_budget(length: Column, tolerance: Column) -> Column:
     return (usual * tolerance.cast("double")).cast("int")
 
 
-#: How characters are written in quoted texts of findings' messages (fixed values).
-ESCAPES = {'"': '\\"', "\\": "\\\\", "\a": "\\a", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\v": "\\v", "\f": "\\f", "\r": "\\r"}
-_SPECIAL = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]|[\"\\\\]"
+#: How control characters are written in findings' messages (fixed values).
+ESCAPES = {"\a": "\\a", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\v": "\\v", "\f": "\\f", "\r": "\\r"}
+_UNPRINTABLE = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
 
 
-def quoted(text: Column) -> Column:
-    """In double quotes, with quotes, backslashes and whatever is not printable escaped."""
+def printable(text: Column) -> Column:
+    """With whatever is not printable escaped; few texts hold such characters, and only those are taken apart."""
+    known = F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in ESCAPES.items())), F.lit("[|]"), F.lit("="))
 
     def escaped(c: Column) -> Column:
-        digits, code = F.lower(F.hex(F.ascii(c))), F.ascii(c)
-        other = F.when(code < 0x80, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0"))).when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
-        return F.when(F.regexp_like(c, F.lit(_SPECIAL)), F.coalesce(F.element_at(F.str_to_map(F.lit("".join(f"{k}={v}|" for k, v in ESCAPES.items())), F.lit("[|]"), F.lit("=")), c), other)).otherwise(c)
+        wide = F.when(c < "\x80", F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(c))), 2, "0"))).when(F.octet_length(c) < 4, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0")))
+        return F.when(F.regexp_like(c, F.lit(_UNPRINTABLE)), F.coalesce(F.try_element_at(known, c), wide, F.concat(F.lit("\\U"), F.lpad(F.lower(F.hex(F.ascii(c))), 8, "0")))).otherwise(c)
+
+    return F.when(F.regexp_like(text, F.lit(_UNPRINTABLE)), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), escaped), "")).otherwise(text)
 
-    # few texts hold such characters, and only those are taken apart
-    made = F.when(F.regexp_like(text, F.lit(_SPECIAL)), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), escaped), "")).otherwise(text)
-    return F.concat(F.lit('"'), made, F.lit('"'))
+
+def quoted(text: Column) -> Column:
+    """In double quotes, with quotes and backslashes escaped; a message of such texts is made ``printable`` as a whole."""
+    return F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
 
 
 def dialect(file_format: Column) -> Column:

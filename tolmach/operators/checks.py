@@ -26,8 +26,13 @@ def _list(items: Column) -> Column:
 def placeholder_issues(source: Column, target: Column) -> Column:
     """At most one error: placeholders of ``source`` and ``target`` (arrays) that are missing or unexpected."""
     missing, extra = text.multiset_minus(source, target), text.multiset_minus(target, source)
+    return _mismatch(missing, extra)
+
+
+def _mismatch(missing: Column, extra: Column) -> Column:
     parts = F.concat_ws("; ", F.when(F.size(missing) > 0, F.concat(F.lit("missing "), _list(missing))), F.when(F.size(extra) > 0, F.concat(F.lit("unexpected "), _list(extra))))
-    return F.when(parts == "", none()).otherwise(F.array(_issue("placeholder", "error", F.concat(F.lit("placeholder mismatch: "), parts))))
+    made = F.array(_issue("placeholder", "error", text.printable(F.concat(F.lit("placeholder mismatch: "), parts))))
+    return F.when((F.size(missing) == 0) & (F.size(extra) == 0), none()).otherwise(made)
 
 
 def length_issues(source_plain: Column, target_plain: Column, max_width: Column, tolerance: Column) -> Column:
@@ -53,7 +58,7 @@ def terminology_issues(source: Column, target: Column, glossary: Column) -> Colu
         F.coalesce(glossary, F.array().cast("array<struct<source:string,target:string,cased:boolean>>")),
         lambda t: (t["source"] != "") & (t["target"] != "") & text.contains_word(source["plain"], t["source"], t["cased"], source["lower"]) & ~text.contains_word(target["plain"], t["target"], t["cased"], target["lower"]),
     )
-    return F.transform(unmet, lambda t: _issue("terminology", "warning", F.concat(F.lit("glossary: "), text.quoted(t["source"]), F.lit(" should be translated as "), text.quoted(t["target"]))))
+    return F.transform(unmet, lambda t: _issue("terminology", "warning", text.printable(F.concat(F.lit("glossary: "), text.quoted(t["source"]), F.lit(" should be translated as "), text.quoted(t["target"])))))
 
 
 def both_cases(plain: Column) -> Column:
@@ -67,7 +72,7 @@ def consistency_issues(target: Column, variants: Column) -> Column:
     other = F.array_sort(F.filter(F.transform(F.coalesce(variants, F.array().cast("array<string>")), text.trim_space), lambda v: (v != "") & (v != own)))
     more = F.when(F.size(other) > 3, F.concat(F.lit(" and "), (F.size(other) - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     message = F.concat(F.lit("the same source string is approved elsewhere as "), _list(F.slice(other, 1, 3)), more)
-    return F.when(text.is_blank(target) | (F.size(other) == 0), none()).otherwise(F.array(_issue("inconsistency", "warning", message)))
+    return F.when(text.is_blank(target) | (F.size(other) == 0), none()).otherwise(F.array(_issue("inconsistency", "warning", text.printable(message))))
 
 
 def glossary_by_project(terms: DataFrame) -> DataFrame:
@@ -85,19 +90,18 @@ def run_checks(segments: DataFrame) -> DataFrame:
     """
     read = segments.withColumns({"_rs": markup.read_fragment(F.col("source_text"), F.col("dialect")), "_rt": markup.read_fragment(F.col("target_text"), F.col("dialect"))})
     # columns of their own, so nothing is worked out again for each term
-    read = read.withColumns({"_ns": F.col("_rs.names"), "_nt": F.col("_rt.names"), "_s": both_cases(F.col("_rs.plain")), "_t": both_cases(F.col("_rt.plain"))})
+    read = read.withColumns({"_missing": text.multiset_minus(F.col("_rs.names"), F.col("_rt.names")), "_extra": text.multiset_minus(F.col("_rt.names"), F.col("_rs.names")), "_s": both_cases(F.col("_rs.plain")), "_t": both_cases(F.col("_rt.plain"))})
     if "others" in segments.columns:
         consistency = F.when(F.col("others").isNull(), none()).otherwise(F.array(_issue("inconsistency", "warning", F.col("others"))))
     else:
         consistency = consistency_issues(F.col("target_text"), F.col("variants"))
     found = F.concat(
-        # most pairs have the same placeholders, and only the others are compared one by one
-        F.when(F.array_sort("_ns") == F.array_sort("_nt"), none()).otherwise(placeholder_issues(F.col("_ns"), F.col("_nt"))),
+        _mismatch(F.col("_missing"), F.col("_extra")),
         length_issues(F.col("_s.plain"), F.col("_t.plain"), F.coalesce("max_width", F.lit(0)), F.col("tolerance")),
         terminology_issues(F.col("_s"), F.col("_t"), F.col("glossary")),
         consistency,
     )
-    return read.withColumn("issues", F.when(text.is_blank(F.col("target_text")), none()).otherwise(found)).drop("_s", "_t", "_rs", "_rt", "_ns", "_nt")
+    return read.withColumn("issues", F.when(text.is_blank(F.col("target_text")), none()).otherwise(found)).drop("_s", "_t", "_rs", "_rt", "_missing", "_extra")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def inconsistent(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
     listed = F.filter(F.array("w1", "w2", "w3", "w4"), lambda x: x["t"] != F.col("t"))  # a null is no wording
     other = F.slice(F.flatten(F.transform(listed, lambda x: F.array_repeat(x["t"], F.least(x["own"], F.lit(3)).cast("int")))), 1, 3)
     more = F.when(F.col("left") > 3, F.concat(F.lit(" and "), (F.col("left") - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return judged.select("project_id", "skey", "tkey", F.concat(F.lit("the same source string is approved elsewhere as "), _list(other), more).alias("others"))
+    return judged.select("project_id", "skey", "tkey", text.printable(F.concat(F.lit("the same source string is approved elsewhere as "), _list(other), more)).alias("others"))
 
 
 def with_others(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
