@@ -131,4 +131,9 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return cutoffs.cut_shares(rows, cutoffs.cut_off(rows))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares}
+def p9_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """What shows that the documents of p9_found are cut: rows by kind of end and of evidence."""
+    return cutoffs.cut_routes(cutoffs.routes(_documents(spark, folder)))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares, "p9_routes": p9_routes}
