@@ -25,56 +25,61 @@ def _join(stem: str, longer: str | None) -> int:
     return 1 if stem and stem[-1].isalnum() and longer[len(stem)].isalnum() else 2
 
 
+SEEN = "key long, how int, after long, part int, kind int, text string"
+
+
 def _look_ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, stem) in order to (key, how, part, kind, text): kind 0 a settled row, 1 a row of the last run, 2 to 4 a border text."""
+    """Rows (key, stem) in order to ``SEEN``: kind 0 a settled row, 1 a row of the last run, 2 to 4 a border text and the first key of its run."""
     part = TaskContext.get().partitionId()
-    first: list[str] = []
+    first: list[tuple[int, str]] = []
     run: list[int] = []
     current: str | None = None
 
-    def batch_of(keys: list, how: list, kinds: list, texts: list) -> pa.RecordBatch:
+    def batch_of(keys: list, how: list, after: list, kinds: list, texts: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(how, pa.int32()), pa.array([part] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), pa.array(texts, pa.string())], names=["key", "how", "part", "kind", "text"]
+            [pa.array(keys, pa.int64()), pa.array(how, pa.int32()), pa.array(after, pa.int64()), pa.array([part] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), pa.array(texts, pa.string())], names=["key", "how", "after", "part", "kind", "text"]
         )
 
     for batch in batches:
-        keys, how = [], []
+        keys, how, after = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text != current:
-                if current is not None:
+                if current is not None and (joint := _join(current, text)):
                     keys += run
-                    how += [_join(current, text)] * len(run)
+                    how += [joint] * len(run)
+                    after += [key] * len(run)
                 current, run = text, []
                 if len(first) < 2:
-                    first.append(text)
+                    first.append((key, text))
             run.append(key)
-        yield batch_of(keys, how, [0] * len(keys), [None] * len(keys))
+        yield batch_of(keys, how, after, [0] * len(keys), [None] * len(keys))
     if current is not None:
-        yield batch_of(run, [0] * len(run), [1] * len(run), [None] * len(run))
-        border = [*zip((2, 3), first, strict=False), (4, current)]
-        yield batch_of([None] * len(border), [0] * len(border), [k for k, _ in border], [t for _, t in border])
+        yield batch_of(run, [0] * len(run), [None] * len(run), [1] * len(run), [None] * len(run))
+        border = [*zip((2, 3), first, strict=False), (4, (run[0] if run else None, current))]
+        yield batch_of([k for _, (k, _) in border], [0] * len(border), [None] * len(border), [k for k, _ in border], [t for _, (_, t) in border])
 
 
 def continued(df: DataFrame) -> DataFrame:
-    """Rows (key long, stem string) that another stem continues: (key, how), how 1 within a word and 2 elsewhere.
+    """Rows (key long, stem string) that another stem continues: (key, how, after), how 1 within a word and 2 elsewhere, ``after`` a key of the longer one.
 
     Null stems have no result. Equal stems do not continue each other.
     """
     rows = df.select("key", "stem").where(F.col("stem").isNotNull())
-    seen = materialise(rows.repartitionByRange("stem", "key").sortWithinPartitions("stem").mapInArrow(_look_ahead, "key long, how int, part int, kind int, text string"), "prefixes")
-    borders: dict[int, dict[int, str]] = {}
-    for row in seen.where("kind >= 2").select("part", "kind", "text").collect():  # three rows for each partition
-        borders.setdefault(row["part"], {})[row["kind"]] = row["text"]
+    seen = materialise(rows.repartitionByRange("stem", "key").sortWithinPartitions("stem").mapInArrow(_look_ahead, SEEN), "prefixes")
+    borders: dict[int, dict[int, tuple[int, str]]] = {}
+    for row in seen.where("kind BETWEEN 2 AND 4").select("part", "kind", "key", "text").collect():  # three rows for each partition
+        borders.setdefault(row["part"], {})[row["kind"]] = row["key"], row["text"]
     order = sorted(borders)
-    late = {}
+    late = []
     for i, part in enumerate(order):
-        last = borders[part][4]
-        after = next((t for p in order[i + 1 :] for t in (borders[p].get(2), borders[p].get(3)) if t is not None and t != last), None)
-        if how := _join(last, after):
-            late[part] = how
-    by_part = F.broadcast(df.sparkSession.createDataFrame(list(late.items()), "part int, late int"))  # a row per partition at most
-    how = F.when(F.col("kind") == 0, F.col("how")).otherwise(F.coalesce("late", F.lit(0)))
-    return seen.where("kind < 2").join(by_part, "part", "left").select("key", how.alias("how")).where("how > 0")
+        last = borders[part][4][1]
+        after = next(((k, t) for p in order[i + 1 :] for k, t in (borders[p].get(2, (None, None)), borders[p].get(3, (None, None))) if t is not None and t != last), None)
+        if after and (how := _join(last, after[1])):
+            late.append((part, how, after[0]))
+    by_part = F.broadcast(df.sparkSession.createDataFrame(late, "part int, late int, late_after long"))  # a row per partition at most
+    last = F.col("kind") == 1
+    settled = seen.where("kind < 2").join(by_part, "part", "left")
+    return settled.select("key", F.when(last, F.coalesce("late", F.lit(0))).otherwise(F.col("how")).alias("how"), F.when(last, F.col("late_after")).otherwise(F.col("after")).alias("after")).where("how > 0")
 
 
 def length_limits(df: DataFrame, least: int = 5, times: float = 6.0, around: int = 20) -> DataFrame:

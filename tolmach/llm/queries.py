@@ -52,7 +52,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "segments").select("id", "file_id", F.col("source_text").alias("source"), F.col("target_text").alias("target"), F.coalesce(origin == "machine", F.lit(False)).alias("machine"))
     placed = rows.join(locales, "file_id", "left")
     labelled = rows.select(F.lit("en").alias("lang"), F.col("source").alias("text")).union(placed.where(~F.col("machine")).select("lang", F.col("target"))).where(F.col("text").isNotNull())
-    return defects.draft_defects(placed.where("machine").select("id", "source", "target", "lang"), labelled)
+    return defects.draft_defects(placed.where("machine").select("id", "source", "target", "lang"), labelled, others=placed.where(~F.col("machine")).select("id", "source", "target"))
 
 
 COPY_TABLES = ("segments", "tm_entries", "tm_feed")
