@@ -10,6 +10,7 @@ from tolmach.engine import Engine
 from tolmach.operators.memory import HashingEmbedder
 from tolmach.plans import fixtures
 from tolmach.schema import NotFound
+from tolmach.sources.tables import current_version
 
 EDIT = "id long, target_text string, status string, origin string, reviewed_by string, at timestamp"
 
@@ -65,6 +66,21 @@ def test_a_project_from_import_to_export(spark, tmp_path, capsys):
     assert {r["name"]: r["approved"] for r in engine.files(project).collect()} == {"app.xlf": 1, "main.ts": 0}
     assert engine.inconsistencies().count() == 0
 
+    class Louder:
+        def translate(self, texts, source, target):
+            return [t + "!" if "close" not in t else "<g>" for t in texts]
+
+    file = engine.files(project).where("name = 'app.xlf'").first()["file_id"]
+    assert engine.pretranslate(file, Louder()) == {"asked": 1, "drafted": 0, "refused": 1}
+    other = engine.files(project).where("name = 'main.ts'").first()["file_id"]
+    assert engine.pretranslate(other, Louder()) == {"asked": 1, "drafted": 1, "refused": 0}
+    drafted = engine.table("segments").where("origin = 'machine'").first()
+    assert (drafted["status"], drafted["reviewed_by"]) == ("needs_review", None) and engine.recheck(other) >= 0
+    # the edit wrote the parts of one file only
+    version = current_version(spark, str(tmp_path / "tables" / "segments"))
+    assert len(list((tmp_path / "tables" / "segments" / f"v{version}").glob("_part=*"))) == 1
+    assert engine.table("segments").count() == 7
+
     for line in (["projects"], ["files"], ["issues"], ["recheck"], ["inconsistencies"], ["glossary", str(project)], ["suggest", str(project), "Zoom in"], ["export", str(tmp_path / "in")], ["remember"]):
         cli.run(engine, cli.parser().parse_args(["x", *line]))
     assert "app.xlf" in capsys.readouterr().out

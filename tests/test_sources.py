@@ -66,6 +66,41 @@ def test_partitions_and_snapshots(spark, tmp_path):
     assert tables.read_snapshot(spark, root).count() == 2
 
 
+def test_a_write_that_stops_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    tables.write_snapshot(spark.range(3), root, 1)
+    monkeypatch.setattr(tables, "_finish", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        tables.write_snapshot(spark.range(9), root, 2)  # its data lie there, its manifest does not
+    monkeypatch.undo()
+    assert tables.current_version(spark, root) == 1 and tables.read_snapshot(spark, root).count() == 3
+    tables.write_snapshot(spark.range(5), root, 2)
+    assert tables.read_snapshot(spark, root).count() == 5
+    with pytest.raises(FileExistsError):
+        tables.write_snapshot(spark.range(1), root, 2)
+    for v in range(3, 7):
+        tables.write_snapshot(spark.range(v), root, v)
+    assert sorted(p.name for p in (tmp_path / "s").glob("v*")) == ["v4", "v5", "v6"]
+
+
+def test_parts_that_are_not_touched_stay_where_they_are(spark, tmp_path):
+    root = str(tmp_path / "p")
+    tables.write_parts(spark.range(200), root, 1, F.col("id"))
+    part = spark.range(7, 8).select(tables.part_of(F.col("id"))).first()[0]
+    mine = tables.read_snapshot(spark, root, [part]).where("id <> 7")
+    tables.write_parts(mine, root, 2, F.col("id"), [part])
+    assert {r["id"] for r in tables.read_snapshot(spark, root).collect()} == set(range(200)) - {7}
+    assert len(list((tmp_path / "p" / "v2").glob("_part=*"))) == 1
+    tables.write_parts(spark.range(0), root, 3, F.col("id"), [part])
+    assert tables.read_snapshot(spark, root, [part], "id long").count() == 0
+
+
+def test_files_of_one_name_do_not_overwrite_each_other(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a.ts", bytearray(b"x")), (2, "a.ts", bytearray(b"y"))], "id long, name string, content binary").coalesce(1)
+    assert tables.save_file(df, str(tmp_path)) == 2
+    assert {p.read_bytes() for p in tmp_path.rglob("a.ts")} == {b"x", b"y"}
+
+
 def test_file_stream(spark, folder):
     seen = []
     stream = flows.file_stream(spark, str(folder), 3, per_batch=1)
