@@ -1,13 +1,14 @@
 """One consistent form for text that looks the same.
 
-First, per character: full-width forms and ligatures become ordinary characters,
+First, per character: full-width forms, ligatures and mathematical letters become ordinary characters,
 accents join the letter they belong to, ignorable characters go (a joiner within an
 emoji stays), every space becomes the plain one. Then, per word: each letter may
 stand for itself or for a like-shaped letter of another script; a Viterbi search
 over this lattice finds the reading that a character bigram model of each script
 explains best, with a price for each replaced letter and a high one for changing
 the script within a word. A word that could wholly be read in another script is
-judged only where both neighbouring words are in that script.
+judged where the nearest clear words to either side, as far away as they may be, are in
+that script; at the start or end of a text the one side decides.
 
 The model is counted over all texts given; it has at most one number for each pair
 of letters of the three scripts.
@@ -15,6 +16,7 @@ of letters of the three scripts.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -64,14 +66,14 @@ def script_of(letter: str) -> int:
 def _character_tables() -> tuple[dict[int, str], frozenset[str], frozenset[str]]:
     """Full forms to ordinary ones; invisible characters; spaces that are not plain."""
     full, hidden, spaces = {}, {"\u034f", "\u115f", "\u1160", "\u17b4", "\u17b5", "\u3164", "\uffa0", *map(chr, range(0x180B, 0x1810)), *map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0100, 0xE01F0))}, {"\x0b", "\x0c", "\x85"}
-    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0xE0000, 0xE0080)]:
+    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0080)]:
         c = chr(code)
         kind, tag = unicodedata.category(c), unicodedata.decomposition(c).partition(">")[0]
         if kind == "Cf":
             hidden.add(c)
         elif kind in ("Zs", "Zl", "Zp"):
             spaces.add(c)
-        elif c not in hidden and (tag in ("<wide", "<narrow") or tag == "<compat" and "LIGATURE" in unicodedata.name(c, "")):
+        elif c not in hidden and (tag in ("<wide", "<narrow") or tag == "<font" and code >= 0x1D400 or tag == "<compat" and "LIGATURE" in unicodedata.name(c, "")):
             full[code] = unicodedata.normalize("NFKC", c)
     return full, frozenset(hidden), frozenset(spaces)
 
@@ -185,18 +187,24 @@ class Reader:
             for m in letters.finditer(made):
                 if mixed.search(m[0]):
                     changes[m.start()] = m.end(), self.reading(m[0], -1)
-        for m in alone.finditer(made):
+        whole = [m for m in alone.finditer(made) if m.start() not in changes]
+        around = [(m.start(), script) for m in letters.finditer(made) if (script := self._clear(m[0])) is not None] if whole else []
+        places = [start for start, _ in around]
+        for m in whole:
             word, start, end = m[0], m.start(), m.end()
-            if start in changes or not (len(word) > 1 or word.islower()):
-                continue
-            left = self._clear(letters.findall(made[max(0, start - 120) : start])[:-4:-1])
-            home = {script_of(c) for c in word}
-            if left is None or left in home or left != self._clear(letters.findall(made[end : end + 120])[:3]):
-                continue
+            if len(word) == 1 and not word.islower():
+                continue  # a unit or an initial, which any script may hold
             if start and made[start - 1] in "<\\%/." or made[end : end + 1] in (">", ":"):
+                continue  # part of markup, of a path or of a placeholder
+            at = bisect.bisect_left(places, start)
+            near = {script for _, script in around[max(0, at - 1) : at + 1]}  # a word that is judged is never clear itself
+            if len(near) != 1:
+                continue
+            home = near.pop()
+            if home in {script_of(c) for c in word}:
                 continue
-            read = self.reading(word, left)
-            if all(script_of(c) == left for c in read):
+            read = self.reading(word, home)
+            if all(script_of(c) == home for c in read):
                 changes[start] = end, read
         out, at = [], 0
         for start in sorted(changes):
@@ -205,13 +213,10 @@ class Reader:
         return "".join(out) + made[at:]
 
     @staticmethod
-    def _clear(near: list[str]) -> int | None:
-        """The script of the first word that has only one and could not be read in another."""
-        for word in near:
-            found = {script_of(c) for c in word}
-            if len(found) == 1 and not all(c in _alike() for c in word):
-                return found.pop()
-        return None
+    def _clear(word: str) -> int | None:
+        """The script of a word that has only one and could not be read in another."""
+        found = {script_of(c) for c in word}
+        return found.pop() if len(found) == 1 and not all(c in _alike() for c in word) else None
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,4 +262,5 @@ def altered(df: DataFrame) -> DataFrame:
     """
     rows = df.select("tbl", "id", "text").where(F.length("text") > 0)
     reader = Reader(pair_counts(rows.select("text")))
-    return rows.mapInArrow(_altered(reader), "tbl int, id long, plain string").distinct()
+    # plain ASCII has one form; only two of its spaces are not plain
+    return rows.where(F.regexp_like("text", F.lit(r"[^\x00-\x7f]|\x0b|\x0c"))).mapInArrow(_altered(reader), "tbl int, id long, plain string").distinct()
