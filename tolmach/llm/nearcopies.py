@@ -73,9 +73,10 @@ def _bands(weight: dict[str, int], heaviest: int, bands: int, rows: int, chunk:
 
 
 def word_weights(sets: DataFrame, heaviest: int, common: float = 1 / 780, frequent: float = 1 / 7800) -> dict[str, int]:
-    """Weights below ``heaviest``, of the words whose share of all occurrences is at least ``frequent``.
+    """Weights below ``heaviest``: 1 for words with a share of at least ``common`` of all occurrences, half of ``heaviest`` from ``frequent`` on.
 
-    By its definition this table has at most 1/frequent words, whatever the size of the corpus.
+    With a ``heaviest`` of 2, as used here, all words from ``frequent`` on weigh 1. By its
+    definition this table has at most 1/frequent words, whatever the size of the corpus.
     """
     each = sets.select(F.explode(F.split("words", " ")).alias("w"))
     total = sets.agg(F.sum(F.size(F.split("words", " "))).alias("t")).first()["t"] or 0
@@ -83,19 +84,21 @@ def word_weights(sets: DataFrame, heaviest: int, common: float = 1 / 780, freque
     return {r["w"]: 1 if r["count"] >= total * common else max(1, heaviest // 2) for r in often}
 
 
-def near_pairs(df: DataFrame, threshold: float = 0.7, least_words: int = 8, bands: int = 44, rows: int = 5, heaviest: int = 2) -> DataFrame:
-    """Pairs of (tbl int, id long, text string) rows with similar word sets: (tbl, id_a, id_b), id_a < id_b.
+def near_links(df: DataFrame, threshold: float = 0.7, least_words: int = 8, bands: int = 44, rows: int = 5, heaviest: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Near copies of rows (tbl int, id long, text string) without expanding groups: (links, members).
 
-    Similar: (distinct words in both) / (distinct words in either) >= ``threshold``,
-    both texts having at least ``least_words`` distinct words, within one tbl.
-    Equal texts count. Null and empty texts have no words and no pairs; a row that
-    occurs twice counts once; very long texts are used whole. At 44 bands of 5 a
-    pair is missed about once in 40,000 on average, and once in 100 at the threshold itself
-    if its differing words are all rare.
+    ``members`` (tbl, rep, id): every row of at least ``least_words`` distinct words and the
+    smallest id with the same set of words. ``links`` (tbl, rep_a, rep_b), rep_a < rep_b:
+    the pairs of different sets whose shared words are at least ``threshold`` of the words in
+    either. Null and empty texts have no words; a row that occurs twice counts once; very
+    long texts are used whole. At 44 bands of 5 a pair is missed about once in 40,000 on
+    average; of a pair at the threshold itself once in 100 if its differing words are
+    all rare or all frequent, and up to once in 8 in the worst case, where all shared words are
+    frequent and all differing ones rare.
     """
     rows_in = df.select(F.col("tbl").cast("int"), F.col("id").cast("long"), F.col("text").cast("string")).where(F.length("text") >= 2 * least_words - 1)
     read = materialise(rows_in.mapInArrow(_word_sets(least_words), "tbl int, id long, sig binary, words string"), "wordsets")
-    sets = materialise(read.groupBy("tbl", "sig").agg(F.min("id").alias("did"), F.first("words").alias("words"), (F.min("id") < F.max("id")).alias("several")), "sets")
+    sets = materialise(read.groupBy("tbl", "sig").agg(F.min("id").alias("did"), F.first("words").alias("words")), "sets")
 
     weight = word_weights(sets, heaviest)
     signed = sets.select("tbl", "did", "words").mapInArrow(_bands(weight, heaviest, bands, rows), "tbl int, did long, n int, s0 long, s1 long, keys array<long>")
@@ -114,11 +117,28 @@ def near_pairs(df: DataFrame, threshold: float = 0.7, least_words: int = 8, band
     shared = F.size(F.array_intersect(wa, wb))
     alike = both.select("tbl", "da", "db", shared.alias("s"), (F.size(wa) + F.size(wb)).alias("t")).where(F.col("s") >= (F.col("t") - F.col("s")) * F.lit(threshold) - F.lit(1e-9))
 
-    links = alike.select("tbl", "da", "db").union(sets.where("several").select("tbl", F.col("did"), F.col("did")))
-    members = read.select("tbl", "sig", "id").join(sets.select("tbl", "sig", "did"), ["tbl", "sig"]).select("tbl", "did", "id").distinct()
+    links = alike.select("tbl", F.col("da").alias("rep_a"), F.col("db").alias("rep_b"))
+    members = read.select("tbl", "sig", "id").join(sets.select("tbl", "sig", F.col("did").alias("rep")), ["tbl", "sig"]).select("tbl", "rep", "id").distinct()
+    return links, members
+
+
+def near_pairs(df: DataFrame, **options) -> DataFrame:
+    """All pairs of the rows that ``near_links`` finds alike, equal word sets included: (tbl, id_a, id_b), id_a < id_b."""
+    links, members = near_links(df, **options)
+    own = members.groupBy("tbl", "rep").agg(F.max("id").alias("most")).where("most > rep").select("tbl", "rep", "rep")
     return (
-        links.join(members.select("tbl", F.col("did").alias("da"), F.col("id").alias("x")), ["tbl", "da"])
-        .join(members.select("tbl", F.col("did").alias("db"), F.col("id").alias("y")), ["tbl", "db"])
-        .where((F.col("da") != F.col("db")) | (F.col("x") < F.col("y")))
+        links.union(own)
+        .join(members.select("tbl", F.col("rep").alias("rep_a"), F.col("id").alias("x")), ["tbl", "rep_a"])
+        .join(members.select("tbl", F.col("rep").alias("rep_b"), F.col("id").alias("y")), ["tbl", "rep_b"])
+        .where((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y")))
         .select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     )
+
+
+def near_classes(df: DataFrame, **options) -> DataFrame:
+    """One row for each row that has near copies: (tbl, id, rep, copies, links), ``copies`` the rows of its word set, ``links`` the other sets it is alike to."""
+    links, members = near_links(df, **options)
+    ends = links.select("tbl", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("tbl", "rep").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("tbl", "rep").agg(F.count("*").alias("copies"))
+    groups = sizes.join(ends, ["tbl", "rep"], "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long"))).where("copies > 1 OR links > 0")
+    return members.join(groups, ["tbl", "rep"]).select("tbl", "id", "rep", "copies", "links")

@@ -50,6 +50,23 @@ shared AS (
     GROUP BY ALL
 )
 SELECT tbl, id_a, id_b FROM shared WHERE s >= 0.7 * (na + nb - s) - 1e-9
+""",
+    "p1_classes": f"""
+WITH rows_of AS (
+    SELECT DISTINCT 'segments' AS tbl, id, list_sort({_WORDS.format("source_text")}) AS ws FROM segments
+    UNION ALL
+    SELECT DISTINCT 'tm_entries', id, list_sort({_WORDS.format("source_text")}) FROM tm_entries
+), sets AS (SELECT tbl, ws, min(id) AS rep, count(*) AS copies FROM rows_of WHERE len(ws) >= 8 GROUP BY 1, 2),
+each AS (SELECT tbl, rep, len(ws) AS n, unnest(ws) AS w FROM sets),
+shared AS (
+    SELECT a.tbl, a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS s
+    FROM each a JOIN each b ON a.tbl = b.tbl AND a.w = b.w AND a.rep <> b.rep
+    WHERE a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n
+    GROUP BY ALL
+), links AS (SELECT tbl, a AS rep, count(*) AS links FROM shared WHERE s >= 0.7 * (na + nb - s) - 1e-9 GROUP BY 1, 2)
+SELECT r.tbl, r.id, s.rep, s.copies, coalesce(l.links, 0) AS links
+FROM rows_of r JOIN sets s ON s.tbl = r.tbl AND s.ws = r.ws LEFT JOIN links l ON l.tbl = s.tbl AND l.rep = s.rep
+WHERE s.copies > 1 OR l.links > 0
 """,
     "p2_found": """
 WITH v AS (
