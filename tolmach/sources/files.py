@@ -15,21 +15,21 @@ from ..schema import DDL
 _UNITS = DDL["units"]
 #: The columns of the binaryFile source; a stream of files needs them given.
 BINARY_FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
-#: Files larger than this are refused, as an upload would be.
+#: Uploads larger than this are refused.
 MOST_BYTES = 32 << 20
 
 
 def read_files(spark: SparkSession, path: str, project_id: int) -> DataFrame:
     """Files under a path or pattern as rows of the files table; ids follow from project and name."""
-    return as_files(spark.read.format("binaryFile").load(path), project_id)
+    return as_files(spark.read.format("binaryFile").load(path), project_id, most_bytes=None)
 
 
-def as_files(raw: DataFrame, project_id: int) -> DataFrame:
-    """Rows of the binaryFile source as rows of the files table; other endings and oversized files are errors."""
+def as_files(raw: DataFrame, project_id: int, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """Rows of the binaryFile source as rows of the files table; other endings are errors, as are files above ``most_bytes``."""
     name = F.element_at(F.split("path", "/"), -1)
     ending = F.lower(name)
     kind = F.when(ending.endswith(".ts"), "qtts").when(ending.endswith(".xlf") | ending.endswith(".xliff"), "xliff").otherwise(F.raise_error(F.concat(F.lit("unsupported file "), name)).cast("string"))
-    content = F.when(F.col("length") <= MOST_BYTES, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("file too large: "), name)).cast("binary"))
+    content = F.col("content") if most_bytes is None else F.when(F.col("length") <= most_bytes, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("file too large: "), name)).cast("binary"))
     project = F.lit(project_id).cast("long")
     return raw.select(F.xxhash64(project, name).alias("id"), project.alias("project_id"), name.alias("name"), kind.alias("format"), content.alias("original"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("imported_at"))
 
