@@ -4,16 +4,19 @@ Each partition starts one in-memory DuckDB with the merge table. A batch of text
 cut into words by the vocabulary's pattern; the bytes of each different word are
 rows (word, position, token). The recursive query joins neighbouring tokens with
 the merge table, takes each word's pair of the smallest rank and contracts it from
-the left, until no pair is left. As no merge can use a token before the merge that
+the left, until no pair is left. Words and their ids stay in the database, and the ids
+of texts leave it as Arrow. As no merge can use a token before the merge that
 makes it, all places of that pair are contracted in one turn, in a run of overlapping
 places every second one. Ordered aggregation then gives each text its list of ids.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,80 +70,83 @@ def read_vocabulary(path: str) -> tuple[list[int], list[tuple[int, int, int, int
     return [ids[letters[b]] for b in range(256)], merges
 
 
+ASSEMBLE = """
+SELECT each.d, coalesce(flatten(list(known.ids ORDER BY cut.k) FILTER (known.ids IS NOT NULL)), []::INT[]) AS ids
+FROM (SELECT unnest(range({texts})) AS d) AS each LEFT JOIN cut ON cut.d = each.d LEFT JOIN known ON known.w = cut.w
+GROUP BY each.d ORDER BY each.d
+"""
+
+
 class Encoder:
-    """Encodes batches of texts; keeps the ids of words it has seen, up to ``remember``."""
+    """Encodes batches of texts; keeps the ids of words it has seen, up to ``remember``, as a table of its database."""
 
     def __init__(self, path: str, remember: int = 300_000):
         import duckdb
         import regex
 
         self.words = regex.compile(PATTERN)
-        self.bytes, merges = read_vocabulary(path)
+        of_byte, merges = read_vocabulary(path)
+        self.bytes = np.array(of_byte, np.int32)
         # no spilling: an executor has no folder of its own to write to
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "memory_limit": "900MB"})
         a, b, rank, made = (list(c) for c in zip(*merges, strict=True))
         given = pa.table({"a": a, "b": b, "rank": rank, "made": made})
         self.db.register("given", given)
         self.db.execute("CREATE TABLE merges AS SELECT a::INT AS a, b::INT AS b, rank::INT AS rank, made::INT AS made FROM given")
-        self.known: dict[str, list[int]] = {}
         self.remember = remember
-
-    def learn(self, new: list[str], at_once: int = 400_000) -> None:
-        """Ids of words not seen before, in queries of about ``at_once`` bytes."""
-        part: list[str] = []
-        size = 0
-        for word in new:
-            part.append(word)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start without known words."""
+        self.number: dict[str, int] = {}
+        self.db.execute("CREATE OR REPLACE TABLE known (w INT, ids INT[])")
+
+    def learn(self, first: int, new: list[str], at_once: int = 400_000) -> None:
+        """Ids of new words, numbered from ``first`` on, in queries of about ``at_once`` bytes."""
+        raw = [word.encode("utf-8", "surrogatepass") for word in new]
+        start, size = 0, 0
+        for end, word in enumerate(raw, 1):
             size += len(word)
-            if size >= at_once:
-                self._contract(part)
-                part, size = [], 0
-        if part:
-            self._contract(part)
-
-    def _contract(self, words: list[str]) -> None:
-        w, p, t = [], [], []
-        for i, word in enumerate(words):
-            raw = word.encode("utf-8")
-            w += [i] * len(raw)
-            p += range(len(raw))
-            t += [self.bytes[b] for b in raw]
-        while w:
+            if size >= at_once or end == len(raw):
+                self._contract(first + start, raw[start:end])
+                start, size = end, 0
+
+    def _contract(self, first: int, words: list[bytes]) -> None:
+        sizes = np.array([len(w) for w in words], np.int64)
+        left = int(sizes.sum())
+        starts = np.cumsum(sizes) - sizes
+        table = pa.table({
+            "w": pa.array(np.repeat(np.arange(first, first + len(words)), sizes).astype(np.int32)),
+            "p": pa.array((np.arange(left) - np.repeat(starts, sizes)).astype(np.int32)),
+            "t": pa.array(self.bytes[np.frombuffer(b"".join(words), np.uint8)]),
+        })
+        self.db.register("given_words", table)
+        self.db.execute("CREATE OR REPLACE TEMP TABLE start AS SELECT * FROM given_words")
+        self.db.unregister("given_words")
+        while left:
             # the query keeps the rows of all its rounds, so a very long word is contracted in several queries
-            rounds = max(1, min(64, 8_000_000 // len(w)))
-            self.db.register("start", pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32())}))
-            found = self.db.execute(CONTRACT.format(rounds=rounds)).fetchall()
-            self.db.unregister("start")
-            w, p, t = [], [], []
-            for i, ids, done in found:
-                if done:
-                    self.known[words[i]] = ids
-                else:
-                    w += [i] * len(ids)
-                    p += range(len(ids))
-                    t += ids
+            rounds = max(1, min(64, 8_000_000 // left))
+            self.db.execute("CREATE OR REPLACE TEMP TABLE found AS " + CONTRACT.format(rounds=rounds))
+            self.db.execute("INSERT INTO known SELECT w, ids FROM found WHERE done")
+            self.db.execute("CREATE OR REPLACE TEMP TABLE start AS SELECT w, (generate_subscripts(ids, 1) - 1)::INT AS p, unnest(ids) AS t FROM found WHERE NOT done")
+            left = self.db.execute("SELECT count(*) FROM start").fetchall()[0][0]
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """The ids of each text; an empty list for an empty or null one."""
-        if len(self.known) > self.remember:
-            self.known.clear()
-        cut = [self.words.findall(t) if t else [] for t in texts]
-        self.learn([w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in self.known])
-        numbers: dict[str, int] = {}
-        text_no, place, word_no = [], [], []
-        for i, ws in enumerate(cut):
-            text_no += [i] * len(ws)
-            place += range(len(ws))
-            word_no += [numbers.setdefault(w, len(numbers)) for w in ws]
-        if not text_no:
-            return pa.array([[] for _ in texts], pa.list_(pa.int32()))
-        self.db.register("cut", pa.table({"d": pa.array(text_no, pa.int32()), "k": pa.array(place, pa.int32()), "w": pa.array(word_no, pa.int32())}))
-        self.db.register("ids", pa.table({"w": pa.array(range(len(numbers)), pa.int32()), "ids": pa.array([self.known[w] for w in numbers], pa.list_(pa.int32()))}))
-        found = self.db.execute("SELECT d, flatten(list(ids.ids ORDER BY k)) AS ids FROM cut JOIN ids USING (w) GROUP BY d").fetchall()
+        if len(self.number) > self.remember:
+            self.forget()
+        number = self.number
+        old = len(number)
+        cut = [[number.setdefault(w, len(number)) for w in self.words.findall(t)] if t else [] for t in texts]
+        if len(number) > old:
+            self.learn(old, list(itertools.islice(number, old, None)))
+        sizes = np.array([len(c) for c in cut], np.int64)
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        flat = np.fromiter(itertools.chain.from_iterable(cut), np.int32, int(sizes.sum()))
+        self.db.register("cut", pa.table({"d": pa.array(np.repeat(np.arange(len(texts)), sizes)), "k": pa.array(place), "w": pa.array(flat)}))
+        found = self.db.sql(ASSEMBLE.format(texts=len(texts))).to_arrow_table()
         self.db.unregister("cut")
-        self.db.unregister("ids")
-        by_text = dict(found)
-        return pa.array([by_text.get(i, []) for i in range(len(texts))], pa.list_(pa.int32()))
+        return found.column("ids").combine_chunks().cast(pa.list_(pa.int32()))
 
 
 def _encoded(path: str, at_once: int):
@@ -162,7 +168,7 @@ def _encoded(path: str, at_once: int):
     return run
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", at_once: int = 500_000) -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", at_once: int = 4_000_000) -> DataFrame:
     """Each row's text as token ids: (doc_id, ids array<int>), without special tokens.
 
     Null and empty texts give an empty list; a text that looks like a special token
