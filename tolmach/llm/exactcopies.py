@@ -2,7 +2,8 @@
 
 A canonical record is a text's letters and digits without regard to case, or a
 JSON object's fields, each so, in the order of their names. Canonical records are
-range-partitioned by (table, record, id) and sorted by Spark, which spills; equal
+range-partitioned by (table, digest, id), so only digests and ids are sampled to the
+driver, and sorted by (table, digest, record, id) by Spark, which spills; equal
 records are then neighbours and are found by comparing full keys. As the id is
 part of the order, a record that a third of all rows share is spread over many
 partitions; runs that cross a border are joined by one border row per partition.
@@ -77,8 +78,10 @@ def _inner(value: object) -> object:
 def _texts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [bare(t) if t else "" for t in batch.column(2).to_pylist()]
-            keep = pa.array([len(c) >= least for c in made], pa.bool_())
+            texts = batch.column(2).to_pylist()
+            made = [bare(t) if t else "" for t in texts]
+            # letters and digits are counted as they stand: folding may turn one into two
+            keep = pa.array([len(c) >= least and (t.isascii() or sum(map(str.isalnum, t)) >= least) for t, c in zip(texts, made, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(made, pa.string()).filter(keep)], names=["tbl", "id", "canon"])
 
     return run
@@ -86,7 +89,7 @@ def _texts(least: int):
 
 def canonical_texts(df: DataFrame, least: int = 40) -> DataFrame:
     """Rows (tbl int, id long, text) with at least ``least`` letters and digits as canonical records."""
-    return df.select("tbl", "id", "text").where(F.length("text") >= least).mapInArrow(_texts(least), CANONICAL)
+    return df.select("tbl", "id", "text").where(F.length("text") > 0).mapInArrow(_texts(least), CANONICAL)
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +150,8 @@ def copies(canonical: DataFrame) -> DataFrame:
     Rows with a null id or record take no part; a row that occurs twice counts once.
     """
     rows = materialise(canonical.where(F.col("id").isNotNull() & F.col("canon").isNotNull()), "canonical")
-    order = ["tbl", "canon", "id"]
-    seen = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tbl", "id", "canon").mapInArrow(_runs, "tbl int, rep long, id long, part int, kind int, digest binary"), "runs")
+    keyed = rows.withColumn("sign", F.unhex(F.md5("canon")))
+    seen = materialise(keyed.repartitionByRange("tbl", "sign", "id").sortWithinPartitions("tbl", "sign", "canon", "id").select("tbl", "id", "canon").mapInArrow(_runs, "tbl int, rep long, id long, part int, kind int, digest binary"), "runs")
     borders: dict[int, dict[int, tuple]] = {}
     for row in seen.where("kind >= 2").collect():  # two rows for each partition
         borders.setdefault(row["part"], {})[row["kind"]] = ((row["tbl"], bytes(row["digest"])), row["rep"])
