@@ -20,10 +20,19 @@ def _named(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumn("tbl", F.array(*map(F.lit, names))[F.col("tbl")])
 
 
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [_table(spark, folder, t).select(F.lit(k).alias("tbl"), "id", F.col("source_text").alias("text")) for k, t in enumerate(("segments", "tm_entries"))]
+    return parts[0].union(parts[1])
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows of one table whose source texts share most of their words."""
-    parts = [_table(spark, folder, t).select(F.lit(k).alias("tbl"), "id", F.col("source_text").alias("text")) for k, t in enumerate(("segments", "tm_entries"))]
-    return _named(nearcopies.near_pairs(parts[0].union(parts[1])), "segments", "tm_entries")
+    return _named(nearcopies.near_pairs(_sources(spark, folder)), "segments", "tm_entries")
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row that has near copies, with the representative of its word set and the numbers of its copies and links."""
+    return _named(nearcopies.near_classes(_sources(spark, folder)), "segments", "tm_entries")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,27 +86,31 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
 ENTRY = ["file_id", "unit_key", "form_index"]
 
 
-def _segment_survivors(rows: DataFrame) -> DataFrame:
+#: How a record came to be; records of any other origin are a source of their own.
+SOURCES = ("import", "human", "memory", "machine")
+
+
+def _fields() -> dict:
+    """Who may supply each field of an entry, its value, and the order of trust."""
     approved = F.coalesce(F.lower(F.trim("status")) == "approved", F.lit(False)).cast("int")
     known = survivors.somebody(F.col("reviewed_by")) & F.coalesce((F.col("reviewed_at") >= F.lit("2015-01-01").cast("timestamp")) & (F.col("reviewed_at") < F.lit("2026-07-01").cast("timestamp")), F.lit(False))
-    fields = {
+    return {
         "target_text": (~survivors.blank(F.col("target_text")), F.col("target_text"), [approved, F.col("updated_at")]),
         "review": (known, F.struct("reviewed_by", "reviewed_at"), [F.col("reviewed_at")]),
     }
-    known = rows.withColumn("source", F.lower(F.trim("origin")))
-    return survivors.survive(known, ENTRY, fields, "target_text", "notes", "source", ("import", "human", "memory", "machine"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The record that supplies each field of the entries that have several."""
-    best = _segment_survivors(_table(spark, folder, "segments"))
+    """The record that supplies each field of the entries that have several: the given order of trust leaves the quality model nothing to decide here."""
+    best = survivors.best_records(_table(spark, folder, "segments"), ENTRY, _fields())
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.id").alias("id")) for f in ("target_text", "review")])
     return best.select(*ENTRY, F.explode(pairs).alias("x")).select(*ENTRY, "x.field", "x.id").where(F.col("id").isNotNull())
 
 
 def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving record of each entry: the best target and review, and every note judged true."""
-    best = _segment_survivors(_table(spark, folder, "segments"))
+    rows = _table(spark, folder, "segments").withColumn("source", F.lower(F.trim("origin")))
+    best = survivors.survive(rows, ENTRY, _fields(), "target_text", "notes", "source", SOURCES)
     review = F.col("review.value")
     return best.select(*ENTRY, F.col("target_text.value").alias("target_text"), F.round("belief", 6).alias("belief"), review["reviewed_by"].alias("reviewed_by"), review["reviewed_at"].alias("reviewed_at"), F.array_join("values", "\n").alias("notes"))
 
@@ -136,4 +149,4 @@ def p9_routes(spark: SparkSession, folder: str) -> DataFrame:
     return cutoffs.cut_routes(cutoffs.routes(_documents(spark, folder)))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares, "p9_routes": p9_routes}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares, "p9_routes": p9_routes}
