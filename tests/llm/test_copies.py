@@ -136,3 +136,41 @@ def test_canonical_json():
 def test_canonical_payloads(spark):
     df = spark.createDataFrame([(2, 5, '{"a":"x"}'), (2, 3, '{"A": "X."}'), (2, 4, "{"), (2, 6, None)], "tbl int, id long, text string")
     assert [tuple(r) for r in exactcopies.copies(exactcopies.canonical_payloads(df)).collect()] == [(2, 3, 5)]
+
+
+def test_classes_hold_every_link_without_pairs(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(14)], 11)) for _ in range(60)] + [BASE] * 30 + [BASE + " now"] * 3 + ["short text", None, ""]
+    df = spark.createDataFrame([(0, i, t, "x") for i, t in enumerate(texts)], "tbl int, id long, text string, rep string")
+    got = {r["id"]: (r["rep"], r["copies"], r["links"]) for r in nearcopies.near_classes(df, bands=400).collect()}
+    sets = {i: frozenset(words(t)) for i, t in enumerate(texts) if t and len(set(words(t))) >= 8}
+    reps = {}
+    for i, s in sets.items():
+        reps.setdefault(s, i)
+    for i, s in sets.items():
+        links = sum(len(s & o) >= 0.7 * len(s | o) for o in reps if o != s)
+        copies = sum(o == s for o in sets.values())
+        assert got.get(i) == ((reps[s], copies, links) if links or copies > 1 else None)
+    assert nearcopies.near_classes(df.limit(0)).count() == 0
+
+
+def test_a_hot_band_is_split(spark):
+    words_of = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words_of, f"x{i}"]) for i in range(400)]  # all alike, no two equal
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "tbl int, id long, text string")
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        links, _ = nearcopies.near_links(df)
+        assert len(links.collect()) == 400 * 399 // 2
+        assert "skew=true" in links._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_letters_that_fold_into_two_count_once(spark):
+    df = spark.createDataFrame([(0, 1, "ß" * 39), (0, 2, "ß" * 39), (0, 3, "ß" * 40), (0, 4, "ß " * 40)], "tbl int, id long, text string")
+    assert {(r["rep"], r["id"]) for r in exactcopies.copies(exactcopies.canonical_texts(df)).collect()} == {(3, 4)}

@@ -220,7 +220,7 @@ def test_long_words_are_contracted_in_several_queries():
     rng = random.Random(3)
     word = "".join(rng.choice("abcdefgh") for _ in range(400))
     whole = encoder.encode([word])[0].as_py()
-    encoder.known.clear()
+    encoder.forget()
     old = tokens.CONTRACT
     try:
         tokens.CONTRACT = old.replace("{rounds}", "3")
@@ -280,3 +280,55 @@ def test_list_items_with_a_broken_last_word_are_cut(spark):
     texts = ["- one thing\n- всё импо", "- one thing\n- всё импо ", "Можно импортировать.", "- cat\n- dog", "- cat\n- dog\n- hen", "- cat\n- zebu", "One thing, two things, a dog and a hen."]
     df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "key long, source string, text string")
     assert {r["key"] for r in cutoffs.cut_off(df).collect()} == {0, 1}
+
+
+def test_words_at_the_ends_and_far_from_others_are_judged(spark):
+    far = "12 " * 60
+    cases = {"оpe y espere la red": "ope y espere la red", "Arrastre la red y cope": "Arrastre la red y cope", f"Arrastre la red {far}оpe {far}y espere": f"Arrastre la red {far}ope {far}y espere", "\U0001d400\U0001d41b\U0001d7d9": "Ab1", "ℹ ² ①": "ℹ ² ①"}
+    got = altered(spark, [*cases, *[RU] * 3, *[DE] * 3])
+    assert [got.get(i, t) for i, t in enumerate(cases)] == list(cases.values())
+
+
+def test_neighbours_tell_shortened_and_unrelated_responses(spark):
+    ask = ["Drag the setting onto Zumib to sort it once the file is ready", "Every user of Gorka may open seven tabs after the server has started", "Who else could print a window while reports are locked by Tremo"]
+    rows = [(1, ask[0], "Ziehen Sie die Einstellung auf Zumib"), (2, ask[0], "Ziehen Sie die Einstellung auf Zumib, um sie zu sortieren"), (3, ask[0], "Das kann ich leider nicht"), (4, ask[1], "Das kann ich, leider, nicht!"), (5, ask[2], "Das kann ich leider nicht tun"),
+            (6, ask[1], "Alle Benutzer von Gorka"), (7, ask[1], "Alle Benutzer von Gorka."), (8, None, None), (9, ask[0], " ")]
+    df = spark.createDataFrame(rows, "id long, source string, target string")
+    got = {r["id"]: (r["shortened"], r["unrelated"], r["continued"]) for r in defects.neighbours(df.where("id <> 2"), df.where("id = 2")).collect() if any(r[1:])}
+    assert got == {1: (True, False, False), 3: (False, True, False), 4: (False, True, False)}
+    assert defects.neighbours(df.limit(0)).count() == 0
+
+
+def test_a_careless_majority_is_overturned():
+    rng = random.Random(5)
+    patterns = {}
+    for _ in range(6000):
+        true = rng.random() < 0.5
+        p = tuple(int(rng.random() < (s if true else 1 - c)) for s, c in ((0.97, 0.97), (0.9, 0.5), (0.9, 0.5)))
+        if any(p):
+            patterns[p] = patterns.get(p, 0) + 1
+    _, belief = survivors.fit_quality(patterns)
+    assert belief[0, 1, 1] < 0.5 < belief[1, 0, 1]
+
+
+def test_records_of_no_known_source_are_a_source_of_their_own(spark):
+    rows = [(k, "n", s) for k in range(40) for s in ("human", "import")] + [(k, f"odd{k}", s) for k in range(40) for s in (None, "other")] + [(k, "n", "machine") for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, note string, source string")
+    made = survivors.beliefs(df, ["k"], "note", "source", ("import", "human", "machine")).collect()
+    assert all((r["belief"] > 0.5) == (r["note"] == "n") for r in made) and len(made) == 80
+
+
+def test_kinds_of_list_ends():
+    assert cutoffs.kind_of("- " + "word " * 30 + "end\n- " + "word " * 40)[0] == "list"
+    assert cutoffs.kind_of("* It works.\n* It is fast.\n* On slow machines the")[0] == "prose"
+    assert cutoffs.kind_of("- one\n- two\n\nThis is a paragraph that stops in the mid")[0] == "prose"
+    assert cutoffs.kind_of("- Could not\n- Could not\n\n\nsave it")[0] == "list"
+    assert cutoffs.kind_of("<p>\n<b>a</b>\n")[0:2] == ("markup", "open")
+
+
+def test_routes_count_every_cut_text_once(spark):
+    df = spark.createDataFrame([(1, "s", "We may impo"), (2, "s", "To import is fine."), (3, "s", "bad �"), (4, "s", "No mark here"), (5, "s", None)], "key long, source string, text string")
+    got = {r["key"]: (r["prefix"], r["limit"], r["mark"], r["ending"]) for r in cutoffs.routes(df).collect()}
+    assert got == {1: (True, False, False, True), 3: (False, False, True, False), 4: (False, False, False, True)}
+    counts = {r["kind"]: (r["texts"], r["prefix"], r["ending_only"]) for r in cutoffs.cut_routes(cutoffs.routes(df)).collect()}
+    assert counts == {"prose": (2, 1, 1), "damaged": (1, 0, 0)}
