@@ -66,6 +66,15 @@ def test_recheck_ordinals_follow_the_checks(spark):
     assert found == [(1, 0, "placeholder"), (1, 1, "length"), (1, 2, "terminology"), (1, 3, "inconsistency"), (2, 0, "terminology")]
 
 
+def test_blocking_findings(spark):
+    df = spark.createDataFrame([
+        (1, [("length", "warning", "a"), ("placeholder", "error", "b"), ("length", "error", "c")]), (2, [("length", "warning", "a")]), (3, []),
+        (4, [("length", None, "a"), ("length", "error", None)]), (5, None),
+    ], f"id long, issues {checks.ISSUES}")
+    got = {r["id"]: (r["blocked"], r["reason"]) for r in df.select("id", checks.blocking(F.col("issues")).alias("blocked"), checks.first_blocking(F.col("issues")).alias("reason")).collect()}
+    assert got == {1: (True, "b"), 2: (False, None), 3: (False, None), 4: (True, None), 5: (None, None)}
+
+
 def tm(spark, rows):
     return spark.createDataFrame(rows, "id long, project_id long, target_locale string, source_hash string, target_text string, embedding array<float>, created_at timestamp")
 
