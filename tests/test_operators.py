@@ -75,6 +75,25 @@ def test_blocking_findings(spark):
     assert got == {1: (True, "b"), 2: (False, None), 3: (False, None), 4: (True, None), 5: (None, None)}
 
 
+def test_reason_of_a_block_is_that_of_its_sql(spark, tmp_path):
+    from test_queries import oracle, table_of
+    from tolmach.plans.catalogue import QUERIES, SQL
+
+    found = [
+        (1, "length", "error", "later", None), (1, "length", "error", "b", 1), (1, "length", "error", "a", 1), (1, "length", "warning", "w", 0),
+        (2, None, "error", "no kind", 0), (2, "length", "error", "kind", 0), (3, "length", "error", None, 0), (3, "length", "error", "z", 0),
+        (4, "length", None, "x", 0), (5, "length", "Error", "x", 0), (None, "length", "error", "x", 0), (9, "length", "error", "x", 0), (1, "length", "error", "a", 1),
+    ]
+    spark.createDataFrame(found, "segment_id long, kind string, severity string, message string, ordinal int").coalesce(1).write.parquet(f"{tmp_path}/issues")
+    spark.createDataFrame([(i, 1) for i in (1, 1, 2, 3, 4, 5, 6)], "id long, file_id long").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    for name, made in (("qa_issues", "issues"), ("segments", "rows")):
+        next((tmp_path / made).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    df = QUERIES["q_blocked_segments"](spark, str(tmp_path))
+    rows = oracle(tmp_path).execute(SQL["q_blocked_segments"])
+    assert table_of(df.collect(), df.columns) == table_of(rows.fetchall(), [c[0] for c in rows.description])
+    assert {r["id"]: r["reason"] for r in df.collect()} == {1: "a", 2: "kind", 3: "z"}
+
+
 def tm(spark, rows):
     return spark.createDataFrame(rows, "id long, project_id long, target_locale string, source_hash string, target_text string, embedding array<float>, created_at timestamp")
 

@@ -64,8 +64,13 @@ def page_total(page_rows: DataFrame) -> DataFrame:
 
 
 def with_issue_lists(segments: DataFrame, issues: DataFrame) -> DataFrame:
-    """Segments with their findings as an array in the order they were made; an empty one where there are none."""
-    lists = issues.groupBy(F.col("segment_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "severity", "message"))).alias("issues"))
+    """Segments with their findings as an array in the order they were made; an empty one where there are none.
+
+    Findings of one place are sorted by kind, severity and message; a null comes last.
+    """
+    columns = ["ordinal", "kind", "severity", "message"]
+    ordered = F.array_sort(F.collect_list(F.struct(*[x for c in columns for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])))
+    lists = issues.groupBy(F.col("segment_id").alias("id")).agg(F.transform(ordered, lambda i: F.struct(*[i[c].alias(c) for c in columns])).alias("issues"))
     return segments.join(lists, "id", "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<struct<ordinal:int,kind:string,severity:string,message:string>>")))
 
 
