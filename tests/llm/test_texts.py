@@ -106,6 +106,20 @@ def test_defects_of_nothing(spark):
     assert defects.draft_defects(drafts, spark.createDataFrame([], "lang string, text string")).count() == 0
 
 
+def test_the_word_model_counts_every_labelled_text(spark):
+    texts = [("de", f"Wort{i} und <b>und</b> 7 Zeile{i % 4000}") for i in range(9000)] + [("de", "und"), ("de", "und"), ("xx", "und"), ("fr", None), (None, "und"), ("en", "AND &amp; und")]
+    got = {r["w"]: tuple(r[1:]) for r in defects.word_counts(spark.createDataFrame(texts, "lang string, text string").repartition(5)).collect()}
+    assert got == {"": (9001, 1, 0, 0, 0), "und": (9001, 1, 0, 0, 0), **{f"zeile{i}": (3, 0, 0, 0, 0) for i in range(1000)}}
+
+
+def test_rare_words_of_a_large_labelled_set_tell_the_language(spark):
+    # of the rare texts, those of the largest hashes: a sample by hash would leave them out
+    rare = spark.createDataFrame([(f"douceur vagabonde lointaine {i}",) for i in range(200)], "text string").orderBy(F.xxhash64("text").desc()).limit(4)
+    labelled = [("fr", f"mot{i} avec") for i in range(12000)] + [("fr", r["text"]) for r in rare.collect()] + [("de", f"Wort{i} mit") for i in range(12000)]
+    drafts = spark.createDataFrame([(1, "Zumi tab", "douceur vagabonde lointaine", "de"), (2, "Zumi tab", "douceur vagabonde lointaine", "fr"), (3, "Douceur lointaine", "Douceur lointaine mit", "de")], "id long, source string, target string, lang string")
+    assert {r["id"]: r["defect"] for r in defects.draft_defects(drafts, spark.createDataFrame(labelled, "lang string, text string")).collect()} == {1: "wrong_language"}
+
+
 def test_continued_texts_equal_brute_force(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 9))) for _ in range(200)] + ["hot" for _ in range(150)] + ["hotter", "hot dog", "", None]
